@@ -16,11 +16,9 @@ RURAL_BODY = (0.005, 0.005, 0.950, 0.910)
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """Whole quotient towards minus infinity, exact also where a/b rounds up to a whole number."""
-    rest = a % b
-    quotient = (a - rest) / b - F.when(rest < 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    whole = F.floor(quotient).cast("double")
-    return (whole + F.when(quotient - whole > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).cast("int")
+    """Whole quotient towards minus infinity, exact also where a/b rounds up to a whole number:
+    taking the exact remainder off first leaves a multiple of b."""
+    return F.rint((a - F.pmod(a, b)) / b).cast("int")
 
 
 def col_index(x: Column, m: Column) -> Column:

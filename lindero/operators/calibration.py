@@ -52,12 +52,14 @@ def medians(values: DataFrame, key: str, columns: list[str]) -> DataFrame:
     for c in columns:
         here = F.col("axis") == c
         n = F.sum(F.when(here, w))
-        mean = F.sum(F.when(here, v * w)) / n
+        plain = F.sum(F.when(here, v * w))
         square = F.sum(F.when(here, v * v * w))
         aggs += [
             F.percentile(F.when(here, v), F.lit(0.5), w).alias(c),
             n.alias(f"_n_{c}"),
-            F.when(n > 1, F.sqrt(F.greatest(square - n * mean * mean, F.lit(0.0)) / (n - 1)))
+            # Whole pixel values keep the numerator exact.
+            F.when(n > 1, F.sqrt(F.greatest(n * square - plain * plain, F.lit(0.0))
+                                 / (n * (n - 1))))
             .otherwise(F.lit(0.0)).alias(f"std_{c}"),
         ]
     out = counted.groupBy(key).agg(*aggs).withColumn("n", F.col(f"_n_{columns[0]}"))
@@ -296,7 +298,7 @@ def choose_snap(candidates: DataFrame) -> DataFrame:
         F.col("_size").alias("size"), F.col("_b.neg").alias("neg"), F.col("_b.ord").alias("ord"),
         F.col("_b.dx").alias("dx"), F.col("_b.dy").alias("dy")))
     gathered = per_size.groupBy("rc").agg(
-        F.collect_list(entry).alias("_all"), F.max(-F.col("_b.neg")).alias("_ignored"),
+        F.collect_list(entry).alias("_all"),
         F.max(F.when(F.col("_size").isNotNull(), -F.col("_b.neg"))).alias("_top"))
     limit = F.col("_top") * F.lit(SNAP_RIVAL)
     win = F.array_min(F.filter(F.col("_all"), lambda e: -e["neg"] >= limit))
