@@ -36,12 +36,9 @@ def _levels_used(df: DataFrame) -> Column:
 
 def _filed(df: DataFrame, box: str, other_levels: Column, base: float) -> DataFrame:
     """One row per cell a box is filed under: its own level and the coarser ones of the other side."""
-    own = F.col("_own")
-    levels = F.array_distinct(
-        F.concat(F.array(own), F.filter(other_levels, lambda level: level > own))
-    )
+    levels = F.array_distinct(F.concat(F.array("_own"), other_levels))
     b = F.col(box)
-    out = df.withColumn("_level", F.explode(levels))
+    out = df.withColumn("_level", F.explode(levels)).filter(F.col("_level") >= F.col("_own"))
     size = cell_size(F.col("_level"), base)
     span_x = F.sequence(F.floor(b["x0"] / size), F.floor(b["x1"] / size))
     span_y = F.sequence(F.floor(b["y0"] / size), F.floor(b["y1"] / size))

@@ -33,6 +33,8 @@ def with_sql(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
+    if not done:
+        return body
     ctes = ",\n".join(f"{n} AS ({SQL[n][0]})" for n in done)
     return f"WITH {ctes}\n{body}"
 
