@@ -39,12 +39,12 @@ UNIT_SUFFIXES = ("m2c/m2", "m2/viv", "Viv/Ha", "m2", "Viv", "u.a.h.", "PLANTAS",
 
 def european_number(text: Column, units: Sequence[str] = UNIT_SUFFIXES) -> Column:
     """`1.234,5 m2` -> 1234.5. With no `units` only blanks and % signs are taken off."""
-    out = strip(F.regexp_replace(strip(text), r"%+$", ""))
+    out = F.regexp_replace(strip(text), r"\s*%+$", "")
     if units:
         out = F.regexp_replace(out, " ", "")
+        # Each step reads the one before once, so the expression stays small.
         for unit in units:
-            out = F.when(out.endswith(unit), strip(F.regexp_replace(out, re.escape(unit) + "$", "")))\
-                .otherwise(out)
+            out = F.regexp_replace(out, rf"\s*{re.escape(unit)}$", "")
     return to_double(F.translate(out, ",.", "."))
 
 

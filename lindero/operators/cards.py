@@ -121,6 +121,12 @@ def card_lines(lines: DataFrame) -> DataFrame:
         F.regexp_replace("text", r"\s+$", "").alias("text"))
 
 
+def _tidied(lines: DataFrame) -> DataFrame:
+    """Adds the stripped line and its comparison form, worked out once for all tests on it."""
+    return lines.withColumn("_line", strip(F.col("text"))).withColumn(
+        "_clean", T.squeezed(F.col("text")))
+
+
 @dataclass(frozen=True)
 class _Probe:
     """How a line may answer a field: its inline value, or a promise of a later line."""
@@ -132,8 +138,7 @@ class _Probe:
 
 
 def _probes() -> list[_Probe]:
-    line = strip(F.col("text"))
-    clean = T.squeezed(F.col("text"))
+    line, clean = F.col("_line"), F.col("_clean")
     blank = F.lit("")
     out = []
     for field, label in LABEL_FIELDS.items():
@@ -169,7 +174,7 @@ def field_values(lines: DataFrame) -> DataFrame:
         F.when(p.hit, F.struct(
             F.lit(p.field).alias("field"), F.lit(p.kind).alias("kind"), p.inline.alias("inline")))
         for p in probes]))
-    marked = lines.withColumn("_m", F.explode(marks)).select("doc", "pos", "_m.*")
+    marked = _tidied(lines).withColumn("_m", F.explode(marks)).select("doc", "pos", "_m.*")
     # Label, pattern and inline fields are settled by their first line, found or not.
     first = marked.filter(F.col("kind") != "system").groupBy("doc", "field").agg(
         F.min_by(F.struct("pos", "kind", "inline"), "pos").alias("_f")).select(
@@ -199,16 +204,16 @@ def section_bounds(lines: DataFrame) -> DataFrame:
 
     Sections are the two land tables and the planning instrument block.
     """
-    clean = T.squeezed(F.col("text"))
+    clean = F.col("_clean")
     marks = [F.when(clean == s, F.struct(F.lit(n).alias("section"), F.lit("s").alias("side")))
              for n, (s, _) in TABLES.items()]
     marks += [F.when(clean == e, F.struct(F.lit(n).alias("section"), F.lit("e").alias("side")))
               for n, (_, e) in TABLES.items()]
     marks.append(F.when(clean == INSTRUMENT_START, F.struct(
         F.lit("instrumento").alias("section"), F.lit("s").alias("side"))))
-    marks.append(F.when(F.upper("text").contains(INSTRUMENT_END), F.struct(
+    marks.append(F.when(F.upper("_line").contains(INSTRUMENT_END), F.struct(
         F.lit("instrumento").alias("section"), F.lit("e").alias("side"))))
-    found = lines.withColumn("_m", F.explode(F.array_compact(F.array(*marks)))).select(
+    found = _tidied(lines).withColumn("_m", F.explode(F.array_compact(F.array(*marks)))).select(
         "doc", "pos", "_m.*")
     starts = found.filter(F.col("side") == "s").groupBy("doc", "section").agg(
         F.min("pos").alias("start"))
