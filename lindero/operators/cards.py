@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lindero.functions import text as T
 from lindero.functions.keys import strip
 from lindero.operators.skew import FLOOR_ROWS, SHARE, salted_join
+from lindero.session import settle
 
 # ---- layout A: lines ------------------------------------------------------------------------
 
@@ -175,27 +176,25 @@ def field_values(lines: DataFrame) -> DataFrame:
             F.lit(p.field).alias("field"), F.lit(p.kind).alias("kind"), p.inline.alias("inline")))
         for p in probes]))
     marked = _tidied(lines).withColumn("_m", F.explode(marks)).select("doc", "pos", "_m.*")
-    # Label, pattern and inline fields are settled by their first line, found or not.
-    first = marked.filter(F.col("kind") != "system").groupBy("doc", "field").agg(
+    # Label, pattern and inline fields are settled by their first line, found or not; a general
+    # system by the first line that yields a value, so all its lines are kept.
+    every = F.when(F.col("kind") == "system", F.col("pos"))
+    cand = marked.groupBy("doc", "field", every.alias("_every")).agg(
         F.min_by(F.struct("pos", "kind", "inline"), "pos").alias("_f")).select(
         "doc", "field", "_f.*")
-    cand = first.unionByName(marked.filter(F.col("kind") == "system"))
-    ready = cand.filter(F.col("inline").isNotNull())
-    later = cand.filter(F.col("inline").isNull()).withColumn(
-        "step", F.explode(F.array(*[F.lit(i) for i in range(1, LOOK_AHEAD + 1)]))
-    ).withColumn("at", F.col("pos") + F.col("step"))
-    following = lines.filter(strip(F.col("text")) != "").select(
-        "doc", F.col("pos").alias("at"), strip(F.col("text")).alias("next"))
-    seen = later.join(following, ["doc", "at"])
+    # An inline value needs its own line only, the others the next two.
+    steps = F.when(F.col("inline").isNotNull(), F.array(F.lit(0))).otherwise(
+        F.array(*[F.lit(i) for i in range(1, LOOK_AHEAD + 1)]))
+    asked = cand.withColumn("step", F.explode(steps)).withColumn("at", F.col("pos") + F.col("step"))
+    filled = lines.withColumn("next", strip(F.col("text"))).filter(F.col("next") != "").select(
+        "doc", F.col("pos").alias("at"), "next")
+    seen = asked.join(filled, ["doc", "at"])
     system = F.regexp_extract(F.col("next"), r"(?i)^" + SYSTEM_VALUE, 2)
-    value = F.when(F.col("kind") == "system", F.nullif(system, F.lit(""))).otherwise(F.col("next"))
-    usable = seen.withColumn("value", value).filter(F.col("value").isNotNull())
-    nearest = usable.groupBy("doc", "field", "pos", "kind").agg(
-        F.min_by("value", "step").alias("value"))
-    settled = ready.select("doc", "field", "pos", "kind", F.col("inline").alias("value")) \
-        .unionByName(nearest)
+    value = F.when(F.col("inline").isNotNull(), F.col("inline")).when(
+        F.col("kind") == "system", F.nullif(system, F.lit(""))).otherwise(F.col("next"))
     kept = F.when((F.col("kind") != "label") | ~is_label(F.col("value")), F.col("value"))
-    return settled.groupBy("doc", "field").agg(F.min_by(kept, "pos").alias("value")).filter(
+    return seen.withColumn("value", value).filter(F.col("value").isNotNull()).groupBy(
+        "doc", "field").agg(F.min_by(kept, F.struct("pos", "step")).alias("value")).filter(
         F.col("value").isNotNull())
 
 
@@ -305,14 +304,15 @@ _INTS_A = ("altura_maxima_plantas", "n_aprox_viv_proteccion", "viviendas_constru
 
 def records_a(lines: DataFrame) -> DataFrame:
     """Layout A: one record of 35 fields per document (`doc` is the file name)."""
-    body = card_lines(lines)
+    # Read by five branches below, so the numbered lines are written once.
+    body = settle(card_lines(lines))
     values = field_values(body)
     names = [*LABEL_FIELDS, *PATTERN_FIELDS, *SYSTEM_FIELDS, "aprovechamiento_codigo",
              "aprovechamiento_uah"]
     # A fixed field list, so the pivot is one aggregate and needs no look at the data.
     wide = values.groupBy("doc").agg(*[
         F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names])
-    inside = section_lines(body, section_bounds(body))
+    inside = settle(section_lines(body, section_bounds(body)))
     tables = land_tables(inside)
 
     def side(name: str) -> DataFrame:
@@ -525,7 +525,8 @@ def largest_build(given: Column, ratio: Column, area: Column) -> Column:
 
 def records_b(spans: DataFrame) -> DataFrame:
     """Layout B: one record of 24 fields and the decoded text per document."""
-    ready = decoded_spans(spans)
+    # Read by five branches below, so the decoded spans are written once.
+    ready = settle(decoded_spans(spans))
     texts = document_texts(ready)
     combined = F.concat("by_row", F.lit("\n"), "by_column")
     phrases = texts.select("doc", F.col("by_row").alias("raw_text_decoded"), *phrase_fields(combined))

@@ -54,13 +54,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Cut lineage reliably: the rows are written to the shared folder and read back.
 
-    Needed where a plan reads the same nondeterministic layout twice (see `running_total`).
+    Used where a plan would work out the same rows several times, or must see one nondeterministic
+    layout twice (`running_total`). The table survives the loss of executors, and its true size
+    guides the joins that follow.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
