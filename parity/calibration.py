@@ -178,8 +178,9 @@ SELECT *, CASE WHEN matches < 200 THEN 'fb_few_matches' WHEN NOT has_model THEN
    ELSE 'applied' END AS outcome FROM matches""", "matches")
 
 
-def matches(spark, sf):
-    return table(spark, sf, "lineitem").select(
+def matches(spark, sf, lines=None):
+    source = lines if lines is not None else table(spark, sf, "lineitem")
+    return source.select(
         F.col("l_orderkey").alias("rc"), F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"), (F.col("l_quantity") * 20).cast("int").alias("matches"),
         (F.col("l_quantity") * (F.col("l_partkey") % 21)).cast("int").alias("inliers"),
