@@ -61,6 +61,22 @@ def rings_area(rings: Column) -> Column:
 TINY = 1e-12
 
 
+def ring_edges(ring: Column) -> Column:
+    """Edges of a closed walk over the ring: each vertex (xi, yi) with its predecessor (xj, yj)."""
+    return F.zip_with(ring, _turned_right(ring), lambda cur, prev: F.struct(
+        cur["x"].alias("xi"), cur["y"].alias("yi"), prev["x"].alias("xj"), prev["y"].alias("yj")))
+
+
+def _odd_crossings(x: Column, y: Column, edges: Column, guard: str) -> Column:
+    def crosses(e: Column) -> Column:
+        rise = e["yj"] - e["yi"]
+        divisor = rise + TINY if guard == "add" else F.when(rise == 0, F.lit(TINY)).otherwise(rise)
+        at = (e["xj"] - e["xi"]) * (y - e["yi"]) / divisor + e["xi"]
+        return ((e["yi"] > y) != (e["yj"] > y)) & (x < at)
+
+    return F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(e))
+
+
 def in_ring(x: Column, y: Column, ring: Column, guard: str = "add") -> Column:
     """Even-odd test of a point against one ring.
 
@@ -68,28 +84,25 @@ def in_ring(x: Column, y: Column, ring: Column, guard: str = "add") -> Column:
     divisor, `replace` uses it only in place of a zero divisor. Crossing edges are never horizontal,
     so they only differ for points within rounding of an edge.
     """
+    return _odd_crossings(x, y, ring_edges(ring), guard)
 
-    def crosses(cur: Column, prev: Column) -> Column:
-        rise = prev["y"] - cur["y"]
-        divisor = rise + TINY if guard == "add" else F.when(rise == 0, F.lit(TINY)).otherwise(rise)
-        at = (prev["x"] - cur["x"]) * (y - cur["y"]) / divisor + cur["x"]
-        return ((cur["y"] > y) != (prev["y"] > y)) & (x < at)
 
-    hits = F.filter(F.zip_with(ring, _turned_right(ring), crosses), lambda hit: hit)
-    return (F.size(ring) > 0) & (F.size(hits) % 2 == 1)
+def prepared_rings(rings: Column) -> Column:
+    """Rings with extent and edges worked out, so that testing many points costs one walk each."""
+    return F.transform(rings, lambda r: F.struct(
+        F.array_min(xs(r)).alias("x0"), F.array_min(ys(r)).alias("y0"),
+        F.array_max(xs(r)).alias("x1"), F.array_max(ys(r)).alias("y1"),
+        ring_edges(r).alias("edges")))
 
 
-def in_any_ring(x: Column, y: Column, rings: Column, guard: str = "add") -> Column:
-    """True when a ring holds the point; each ring's extent is tried first."""
+def in_any_ring(x: Column, y: Column, prepared: Column, guard: str = "add") -> Column:
+    """True when one of the `prepared_rings` holds the point; each ring's extent is tried first."""
 
-    def holds(ring: Column) -> Column:
-        return (
-            (x >= F.array_min(xs(ring))) & (x <= F.array_max(xs(ring)))
-            & (y >= F.array_min(ys(ring))) & (y <= F.array_max(ys(ring)))
-            & in_ring(x, y, ring, guard)
-        )
+    def holds(r: Column) -> Column:
+        return ((x >= r["x0"]) & (x <= r["x1"]) & (y >= r["y0"]) & (y <= r["y1"])
+                & _odd_crossings(x, y, r["edges"], guard))
 
-    return F.coalesce(F.exists(rings, holds), F.lit(False))
+    return F.coalesce(F.exists(prepared, holds), F.lit(False))
 
 
 def point_pairs(values: Column) -> Column:

@@ -72,30 +72,23 @@ def grid_columns(points: DataFrame, m: Column) -> DataFrame:
 
     Values are null where the row is outside the grid or the municipality has none.
     """
-    x, y = F.col("x"), F.col("y")
-    out = (
-        points.withColumn("_m", m)
-        .withColumn("col", grid.col_index(x, F.col("_m")))
-        .withColumn("row", grid.row_index(y, F.col("_m")))
-    )
-    mm, col, row = F.col("_m"), F.col("col"), F.col("row")
-    out = (
-        out.withColumn("letter", grid.row_letter(row))
-        .withColumn("x_in", grid.x_within(x, col, mm))
-        .withColumn("y_in", grid.y_within(y, row, mm))
-    )
-    x_in, y_in = F.col("x_in"), F.col("y_in")
-    out = out.withColumn("compass", grid.compass(x_in, y_in, mm))
-    corner = F.col("compass")
-    out = out.withColumn("sub", grid.quadrant(corner)).withColumn(
-        "cell", grid.cell_name(col, F.col("letter")))
+    x, y, mm = F.col("x"), F.col("y"), F.col("_m")
+    col, row, x_in, y_in = (F.col(c) for c in ("col", "row", "x_in", "y_in"))
+    letter, corner, sub = F.col("letter"), F.col("compass"), F.col("sub")
+    # A few wide steps: each one may read the columns of the step before.
+    out = points.withColumns({
+        "_m": m}).withColumns({
+            "col": grid.col_index(x, mm), "row": grid.row_index(y, mm)}).withColumns({
+                "letter": grid.row_letter(row), "x_in": grid.x_within(x, col, mm),
+                "y_in": grid.y_within(y, row, mm)}).withColumns({
+                    "compass": grid.compass(x_in, y_in, mm),
+                    "cell": grid.cell_name(col, letter)}).withColumns({
+                        "sub": grid.quadrant(corner)})
     rel = grid.body_relative(x, y, col, row, corner, mm)
-    return (
-        out.withColumn("sheet_name", grid.sheet_name(col, F.col("letter"), F.col("sub")))
-        .withColumn("rx", F.bround(rel["rx"], 4))
-        .withColumn("ry", F.bround(rel["ry"], 4))
-        .withColumn("warnings", grid.border_warnings(x_in, y_in, mm, F.col("cell")))
-    )
+    return out.withColumns({
+        "sheet_name": grid.sheet_name(col, letter, sub), "rx": F.bround(rel["rx"], 4),
+        "ry": F.bround(rel["ry"], 4),
+        "warnings": grid.border_warnings(x_in, y_in, mm, F.col("cell"))})
 
 
 def attach_sheets(rows: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -95,7 +95,10 @@ def points_in_zones(points: DataFrame, zones: DataFrame, point_id: str, guard: s
     Points carry `x`, `y`; zones carry `rings`. The rings are dropped from the result.
     """
     located = points.withColumn("_pbox", point_box(F.col("x"), F.col("y")))
-    boxed = zones.withColumn("_zbox", G.rings_bbox(F.col("rings")))
+    # Extent and edges are worked out per zone, before the zone is repeated for its cells.
+    boxed = zones.withColumns({
+        "_zbox": G.rings_bbox(F.col("rings")), "_prep": G.prepared_rings(F.col("rings"))
+    }).drop("rings")
     pairs = box_join(located, boxed, "_pbox", "_zbox", point_id, True, base, share, floor_rows)
-    inside = G.in_any_ring(F.col("x"), F.col("y"), F.col("rings"), guard)
-    return pairs.filter(inside).drop("_pbox", "_zbox", "rings")
+    inside = G.in_any_ring(F.col("x"), F.col("y"), F.col("_prep"), guard)
+    return pairs.filter(inside).drop("_pbox", "_zbox", "_prep")

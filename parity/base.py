@@ -24,5 +24,10 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table. `spread` deals the rows of a single small file out to all cores; tables of
+    several files are split by the scan itself."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if spread and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df

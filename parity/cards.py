@@ -81,7 +81,7 @@ D.define("dd", "SELECT doc_id AS d, text FROM documents")
 
 
 def raw_lines(spark, sf):
-    dd = table(spark, sf, "documents").select(F.col("doc_id").alias("d"), "text")
+    dd = table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("d"), "text")
 
     def arr(items):
         return "array(" + ", ".join(items) + ")"
@@ -331,7 +331,7 @@ def spans(spark, sf):
 
     def d(c):
         return c.cast("double")
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", spread=True).select(
         F.floor(F.col("l_orderkey") / 4).alias("doc"),
         (F.col("l_orderkey") % 2).cast("int").alias("page"), d(ln * 40 + pk % 10).alias("x0"),
         d(pk % 50 * 6 + sk % 3).alias("y0"), d(ln * 40 + pk % 10 + 30).alias("x1"),

@@ -54,7 +54,7 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
     rc14 = F.concat(
         F.lpad((k % 10000000).cast("string"), 7, "0"), F.lit("TP"),
         F.lpad((cust % 10000).cast("string"), 4, "0"), F.char((65 + k % 26)))
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         k.alias("k"), cust.alias("cust"), rc14.alias("rc14"), F.col("o_totalprice").alias("price"))
 
 
