@@ -94,20 +94,24 @@ def features_at(points: DataFrame, features: DataFrame, point_id: str, reach: fl
                 **opts) -> DataFrame:
     """Features of the point's municipality at each point, at most ten per layer by `ord`.
 
-    points(point_id, x, y, id_ine); features(layer, id_municipio, ord, props, rings). With a reach,
-    a feature counts when its extent meets the square of that half-side around the point. The limit
+    points(point_id, x, y, id_ine); features(layer, id_municipio, ord, props, rings), keyed by the
+    first three. With a reach, a feature counts when its extent meets the square of that half-side around the point. The limit
     is applied in every task before the shuffle, so a crowded layer moves ten rows per point.
     """
+    slim = ("layer", "ord", "id_municipio")
+    at = points.select(point_id, "x", "y", "id_ine")
     if reach > 0:
-        boxed = points.withColumn("_pbox", point_box(F.col("x"), F.col("y"), reach))
-        sized = features.withColumn("_fbox", G.rings_bbox(F.col("rings"))).drop("rings")
-        pairs = box_join(boxed, sized, "_pbox", "_fbox", point_id, **opts).drop("_pbox", "_fbox")
+        boxed = at.withColumn("_pbox", point_box(F.col("x"), F.col("y"), reach))
+        sized = features.select(*slim, G.rings_bbox(F.col("rings")).alias("_fbox"))
+        pairs = box_join(boxed, sized, "_pbox", "_fbox", point_id, **opts)
     else:
-        pairs = points_in_zones(points, features, point_id, **opts)
-    own = pairs.filter(F.col("id_municipio") == F.col("id_ine"))
+        pairs = points_in_zones(at, features.select(*slim, "rings"), point_id, **opts)
+    own = pairs.filter(F.col("id_municipio") == F.col("id_ine")).select(point_id, *slim)
     order = Window.partitionBy(point_id, "layer").orderBy("ord")
-    return own.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= PER_LAYER) \
-        .drop("_n")
+    first = own.withColumn("_n", F.row_number().over(order)).filter(
+        F.col("_n") <= PER_LAYER).drop("_n")
+    # Only keys are ranked; the properties join the few rows that are left.
+    return first.join(features.drop("rings"), list(slim))
 
 
 def heritage_near(points: DataFrame, features: DataFrame, point_id: str, **opts) -> DataFrame:

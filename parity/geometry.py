@@ -8,6 +8,7 @@ from lindero.functions import geometry as GM
 from lindero.functions import grid, text
 from lindero.operators import locate as L
 from lindero.operators import zones as Z
+from lindero.operators.skew import first_per_key
 from lindero.registry import as_struct
 from parity import derived as D
 from parity.base import add, table
@@ -105,6 +106,16 @@ def features(spark, sf):
         F.substring(layer, 1, 3).alias("categoria"), "rings")
 
 
+@add("wn4_first_listed", """
+SELECT l_orderkey AS k, l_partkey AS pk, l_suppkey AS sk FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"),
+        F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"))
+    return first_per_key(rows, ["k"], [F.col("ln"), F.col("pk"), F.col("sk")]).drop("ln")
+
+
 @add("ag4_zone_summary", with_sql("""
 SELECT etiqueta, layer, substr(layer, 1, 3) AS categoria, ox AS xmin, oy AS ymin,
   CASE WHEN twin THEN ox + w + 100 + w ELSE ox + w END AS xmax, oy + h AS ymax,
