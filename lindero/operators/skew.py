@@ -33,11 +33,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = SHARE,
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                how: str = "inner", share: int = SHARE, floor_rows: int = FLOOR_ROWS) -> DataFrame:
+                how: str = "inner", share: int = SHARE, floor_rows: int = FLOOR_ROWS,
+                deal_right: bool = False) -> DataFrame:
     """Equi-join where hot keys of `left` are split and the matching rows of `right` repeated.
 
     `spread` names left columns that tell the rows of one key apart. Every left row meets each
     matching right row exactly once, so this holds for inner, left, semi and anti joins alike.
+    With `deal_right` the right side is dealt out by key before the join, for joins that do much
+    work per pair: whichever side Spark then broadcasts, the work is spread over all tasks.
     """
     hot = hot_keys(left, keys, share, floor_rows)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
@@ -51,6 +54,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
+    if deal_right:
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted_right = salted_right.repartition(tasks, *keys, "_salt")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -62,7 +62,8 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str,
     filed_b = _filed(b, right_box, _levels_used(a.select("_own")), base) \
         .withColumnRenamed("_own", "_own_b")
     pairs = salted_join(
-        filed_a, filed_b, ["_level", "_cx", "_cy"], [left_id], "inner", share, floor_rows)
+        filed_a, filed_b, ["_level", "_cx", "_cy"], [left_id], "inner", share, floor_rows,
+        deal_right=True)
     p, q = F.col(left_box), F.col(right_box)
     if touching:
         meet = (p["x0"] <= q["x1"]) & (q["x0"] <= p["x1"]) & (p["y0"] <= q["y1"]) \
