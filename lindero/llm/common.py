@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +32,16 @@ def unpack(columns: list[str], replaced: tuple[str, ...] = ()) -> list[Column]:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch: texts may be very long and a task must not hold many."""
+    """Bound the rows of an Arrow batch: texts may be very long and a task must not hold many.
+
+    Also names this library's folder to Python workers on the same machines; where it is shipped
+    with --py-files the workers find it there.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    home = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, *paths]))
 
 
 def unit_hash(*parts: Column) -> Column:

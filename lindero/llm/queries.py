@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import mixing, sharding
+from lindero.llm import bpe, langid, mixing, sharding
 from lindero.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,25 @@ def op5_sharding(spark, sf):
         "doc_id", (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_language_id(spark, sf):
+    """Predicted language of every document; documents of remainder 2 are held out."""
+    docs = table(spark, sf, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    network = langid.learn(docs, remainder != 2)
+    found = langid.identify(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+                        "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op9_bpe(spark, sf):
+    """Every document encoded by the ranks and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
