@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ ROW = "_row"
 # ASCII white space: space and U+0009 to U+000D, the word separators of every operator here.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,23 +61,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """_FACTOR ** 0 ... n - 1 modulo 2**64."""
-    out = np.full(max(n, 1), _FACTOR, dtype=np.uint64)
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base), dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _table(base: int, n: int) -> np.ndarray:
+    return _powers(base, 1 << max(10, (n - 1).bit_length()))[:n]
+
+
+def powers(n: int) -> np.ndarray:
+    """FACTOR ** 0 ... n - 1 modulo 2**64."""
+    return _table(FACTOR, n)
+
+
 def inverse_powers(n: int) -> np.ndarray:
-    inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-    out = np.full(max(n, 1), inverse, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    return _table(pow(FACTOR, -1, 1 << 64), n)
+
+
+# Bytes hashed in one go; longer texts are cut between words and give the same hashes.
+STRETCH = 4 << 20
 
 
 def join_texts(texts) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one space after each, and where each text starts (null: empty)."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8") for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
     sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
     starts = np.zeros(len(parts) + 1, dtype=np.int64)
@@ -94,15 +105,22 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.empty_like(space)
     before[0] = True
     before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & before)
-    if not len(starts):
-        return starts, np.zeros(0, dtype=np.uint64)
     after = np.empty_like(space)
     after[-1] = True
     after[:-1] = space[1:]
+    starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
-    n = len(data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * inverse_powers(n)[starts]
-    return starts, mix64(raw + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    done = 0
+    while done < len(starts):
+        stop = int(np.searchsorted(ends, starts[done] + STRETCH, "right"))
+        stop = max(stop, done + 1)
+        low, high = starts[done], ends[stop - 1]
+        n = int(high - low)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers(n), out=prefix[1:])
+        s, e = starts[done:stop] - low, ends[done:stop] - low
+        raw = (prefix[e] - prefix[s]) * inverse_powers(n)[s]
+        out[done:stop] = mix64(raw + (e - s).astype(np.uint64))
+        done = stop
+    return starts, out

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, mixing, sharding
+from lindero.llm import bpe, langid, mixing, quality, sharding
 from lindero.llm.common import table
 
+QUALITY_LIMIT = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -92,3 +94,16 @@ def op9_bpe(spark, sf):
     return bpe.decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_quality(spark, sf):
+    """Quality score of every document; documents of remainder 0 are held out."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality.learn(docs, labels, remainder != 0)
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= QUALITY_LIMIT, 1).otherwise(0).alias("predicted"))
