@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, mixing, quality, sharding
+from lindero.llm import bpe, langid, mixing, probminhash, quality, sharding
 from lindero.llm.common import table
 
 QUALITY_LIMIT = 0.3
@@ -107,3 +107,9 @@ def op10_quality(spark, sf):
         "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
         F.col("quality_score").alias("score"),
         F.when(F.col("quality_score") >= QUALITY_LIMIT, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_minhash(spark, sf):
+    """Every document with its class of copies and its group of near duplicates."""
+    return probminhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
