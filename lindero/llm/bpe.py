@@ -30,11 +30,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.shrink()
+        self[key] = value
+        return value
+
+    def shrink(self) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
 
 
 class Vocabulary:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, mixing, probminhash, quality, sharding
+from lindero.llm import bpe, huffman, langid, mixing, probminhash, quality, sharding
 from lindero.llm.common import table
 
 QUALITY_LIMIT = 0.3
@@ -113,3 +113,11 @@ def op10_quality(spark, sf):
 def op4_minhash(spark, sf):
     """Every document with its class of copies and its group of near duplicates."""
     return probminhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_huffman(spark, sf):
+    """Every document's ids, written in blocks of Huffman code and read back from the files."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    read = huffman.round_trip(table(spark, sf, "documents"), path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
