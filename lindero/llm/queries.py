@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, huffman, langid, mixing, probminhash, quality, sharding
+from lindero.llm import (
+    bpe, forest, huffman, langid, mixing, probminhash, quality, sharding, subspace,
+)
 from lindero.llm.common import table
 
 QUALITY_LIMIT = 0.3
@@ -121,3 +123,15 @@ def op8_huffman(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.json")
     read = huffman.round_trip(table(spark, sf, "documents"), path)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_neighbours(spark, sf):
+    """The five nearest of every vector whose id is divisible by 50."""
+    return forest.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op1_subspace(spark, sf):
+    """Every vector with its number of links and its group of near duplicates."""
+    return subspace.near_vectors(table(spark, sf, "embeddings"))
