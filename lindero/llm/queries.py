@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lindero.llm import (
-    bpe, forest, huffman, langid, mixing, probminhash, quality, sharding, subspace,
+    bpe, chat, forest, huffman, langid, mixing, probminhash, quality, sharding, subspace,
 )
 from lindero.llm.common import table
 
@@ -135,3 +135,44 @@ def op6_neighbours(spark, sf):
 def op1_subspace(spark, sf):
     """Every vector with its number of links and its group of near duplicates."""
     return subspace.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op2_chat(spark, sf):
+    """Every conversation, formatted and read back, and one that holds control strings."""
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(odd))
+    turns = given.union(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    done = chat.format_chats(turns).select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"))
+    lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(
+        t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    return done.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+ORACLE["op2_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), ''
+                        ORDER BY turn NULLS FIRST, role, text) AS lines,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                      FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g'))
+                 + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g'))
+                 + length('<turn >') + length('</turn>') + 1)::BIGINT AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM g
+"""
