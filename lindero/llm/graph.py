@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lindero.session import settle
 
 
+class Forest:
+    """Groups of rows joined so far; only a pair that joins two groups costs more than a look."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        la, lb = self.label[a], self.label[b]
+        new = la != lb
+        if not new.any():
+            return
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for x, y in set(zip(la[new].tolist(), lb[new].tolist())):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        to = np.arange(len(self.label))
+        for x in parent:
+            to[x] = root(x)
+        self.label = to[self.label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (a, b): label is the smallest reachable node.
 

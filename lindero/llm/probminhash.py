@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lindero.llm.common import (
     ROW, join_texts, mix64, pack, small_batches, unpack, word_hashes,
 )
-from lindero.llm.graph import components
+from lindero.llm.graph import Forest, components
 from lindero.session import settle
 
 SHINGLE = 5           # words
@@ -22,6 +22,8 @@ BANDS, ROWS = 32, 4   # a pair at the threshold is missed with chance (1 - 0.8 *
 REGISTERS = BANDS * ROWS
 # Pairs whose estimate is below are not verified: 5 standard deviations under the threshold.
 ESTIMATE = 0.62
+TILE = 256            # rows of a bucket that are compared with as many others in one step
+COLUMNS = 1 << 14     # shingles of a block of their products
 _STEP, _PLACE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _ALL = (1 << 64) - 1
 
@@ -187,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             a, b = batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist()
-            keep = pa.array([probability_jaccard(of(x), of(y)) >= THRESHOLD
+            keep = pa.array([probability_jaccard(of(x), of(y)) >= THRESHOLD - 1e-9
                              for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_pydict(
                 {c: batch.column(c).filter(keep) for c in ("a", "b")})
@@ -195,14 +197,132 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _tiled(rest: DataFrame) -> DataFrame:
+    """Each bucket's rows dealt to tiles of about TILE rows; a row for each tile it is held against."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    return (rest.withColumn("tile", F.pmod(F.xxhash64("key"), tiles).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .select("band", "value", F.least("tile", "other").alias("i"),
+                    F.greatest("tile", "other").alias("j"), "tile", "key", "label", "sig"))
+
+
+TILE_KEYS = ["band", "value", "i", "j"]
+
+
+def _by_tile(df: DataFrame) -> DataFrame:
+    """The rows of a pair of tiles, 2 * TILE at most in expectation, next to each other."""
+    return df.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
+
+
+def _runs(batches):
+    """The rows of each pair of tiles as one table, whatever batches they come in."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        names = list(zip(*(table.column(k).to_pylist() for k in TILE_KEYS)))
+        edges = [0] + [k for k in range(1, len(names)) if names[k] != names[k - 1]] + [len(names)]
+        for start, end in zip(edges, edges[1:]):
+            part = table.slice(start, end - start)
+            if held and held[-1].select(TILE_KEYS).slice(0, 1) != part.select(TILE_KEYS).slice(0, 1):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two tiles that this bucket is the first to share, in different components,
+    and whose signatures agree well enough."""
+    tile = np.asarray(group.column("tile"))
+    i, j, band = (group.column(k)[0].as_py() for k in ("i", "j", "band"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    bands = np.ascontiguousarray(sig).view("<u8").reshape(-1, BANDS)[:, :band]
+    label = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
+    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    a, b = [], []
+    for at in range(0, len(left), 64):
+        x = left[at:at + 64]
+        fit = label[x][:, None] != label[right][None]
+        if i == j:
+            fit &= x[:, None] < right[None]
+        p, q = np.nonzero(fit)
+        p, q = x[p], right[q]
+        first = ~(bands[p] == bands[q]).any(axis=1)
+        p, q = p[first], q[first]
+        near = (sig[p] == sig[q]).mean(axis=1) >= ESTIMATE
+        a.append(p[near])
+        b.append(q[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _near_tiles(batches):
+    """The rows of each pair of tiles that have a partner to be verified there."""
+    for group in _runs(batches):
+        p, q = _candidates(group)
+        if len(p):
+            yield from group.take(pa.array(np.unique(np.concatenate([p, q])))).combine_chunks(
+                ).to_batches()
+
+
+def _joined_tiles(batches):
+    """Links that join up the verified pairs of two tiles: at most one for each row."""
+    for group in _runs(batches):
+        p, q = _candidates(group)
+        owner, shingle, count = shingles(group.column("norm").to_pylist())
+        linked = exact_links(len(group), owner, shingle, count, p, q)
+        joined = Forest(group.num_rows)
+        joined.join(p[linked], q[linked])
+        some = np.flatnonzero(joined.label != np.arange(group.num_rows))
+        keys = group.column("key").combine_chunks()
+        yield pa.RecordBatch.from_pydict({
+            "a": keys.take(pa.array(some)), "b": keys.take(pa.array(joined.label[some]))})
+
+
+def exact_links(n: int, owner: np.ndarray, shingle: np.ndarray, count: np.ndarray,
+                p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs (p, q) of n texts reach the threshold.
+
+    The weight a text shares with another bounds the similarity from above, and for texts without
+    repeated shingles gives it: both come from products of the shingle counts, column block by
+    block. What the bound leaves of the other pairs is worked out one by one.
+    """
+    first = np.searchsorted(owner, np.arange(n + 1))
+    total = np.bincount(owner, weights=count, minlength=n)
+    plain = np.bincount(owner, weights=count, minlength=n) == np.diff(first)
+    values, column, uses = np.unique(shingle, return_inverse=True, return_counts=True)
+    rank = np.cumsum(uses > 1) - 1                     # only shingles of two texts matter
+    shared = uses[column] > 1
+    rows, columns, counts = owner[shared], rank[column[shared]], count[shared]
+    weight = np.zeros((n, n), dtype=np.float64)
+    for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+        here = (columns >= low) & (columns < low + COLUMNS)
+        block = np.zeros((n, COLUMNS), dtype=np.float32)
+        block[rows[here], columns[here] - low] = counts[here]
+        weight += block @ (block > 0).astype(np.float32).T
+    a, b = weight[p, q], weight[q, p]
+    both = plain[p] & plain[q]
+    exact = a / np.maximum(1, total[p] + total[q] - a)
+    bound = np.minimum(a / np.maximum(1, total[p]), b / np.maximum(1, total[q]))
+    linked = both & (exact >= THRESHOLD - 1e-9)
+    for k in np.flatnonzero(~both & (bound >= THRESHOLD - 1e-9)):
+        x, y = slice(first[p[k]], first[p[k] + 1]), slice(first[q[k]], first[q[k] + 1])
+        linked[k] = probability_jaccard((shingle[x], count[x]), (shingle[y], count[y])
+                                        ) >= THRESHOLD - 1e-9
+    return linked
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, label) of every linked text, and (key, doc_id) of every document with words.
 
     Banding: texts that agree in the registers of a band share a bucket. First each bucket's
     texts are compared with one leader, the text that shares most buckets with others; a large
     group of near copies is joined up so with work in proportion to its size. Then every pair of
-    a bucket that is still in different components is compared, so no pair of the banding is
-    left out where it could matter: what is skipped is pairs already known to be connected.
+    a bucket that is still in different components is compared, tile by tile within tasks that
+    return only the links that join components: no table of pairs is made, a pair that shares
+    several buckets is looked at in the first, and what is skipped is pairs already connected.
     """
     signed = settle(sign(docs), "signed")
     signed = signed.filter(F.col("sig").isNotNull())
@@ -229,17 +349,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                    .agg(F.any_value("norm").alias("norm")), "texts")
     found = settle(_verified(_estimated(first, sigs), texts), "found")
     labels = components(found)
-    placed = settle(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "value", "key", F.coalesce("label", "key").alias("label")), "placed")
+    placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "value", "n", "key", F.coalesce("label", "key").alias("label"))
+    # A bucket of two has been settled by its leader, one with a single label needs nothing more.
+    placed = settle(placed.filter(F.col("n") > 2), "placed")
     mixed = (placed.groupBy("band", "value")
              .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .filter(F.col("lo") != F.col("hi")).select("band", "value"))
-    rest = placed.join(mixed, ["band", "value"])
-    one, two = rest.toDF("band", "value", "a", "la"), rest.toDF("band", "value", "b", "lb")
-    second = (one.join(two, ["band", "value"]).filter(F.col("la") < F.col("lb"))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
-    more = settle(_verified(_estimated(second, sigs), texts), "found")
+    rest = _tiled(placed.join(mixed, ["band", "value"], "left_semi").join(sigs, "key"))
+    needed = settle(_by_tile(rest).mapInArrow(_near_tiles, rest.schema), "needed")
+    more = settle(_by_tile(needed.join(texts, "key")).mapInArrow(
+        _joined_tiles, "a binary, b binary"), "found")
     if more.isEmpty():
         return labels, signed.select("key", "doc_id")
     merged = found.union(more)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lindero.llm.common import unit_hash
-from lindero.llm.graph import components
+from lindero.llm.graph import Forest, components
 from lindero.llm.vectors import as_matrix, cosines, stored, stored_as, unit
 from lindero.session import settle
 
@@ -85,34 +85,6 @@ def plan(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, seed: int
     return Blocks(rotation, edges, budgets, cuts.reshape(n, n_cuts))
 
 
-class Forest:
-    """Groups of rows joined so far; only a pair that joins two groups costs more than a look."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        la, lb = self.label[a], self.label[b]
-        new = la != lb
-        if not new.any():
-            return
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        for x, y in set(zip(la[new].tolist(), lb[new].tolist())):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        to = np.arange(len(self.label))
-        for x in parent:
-            to[x] = root(x)
-        self.label = to[self.label]
-
-
 def compare(block: int, blocks: Blocks, threshold: float, za, zb, va, vb, same: bool):
     """Linked pairs (rows of a, rows of b) that this block is the first to find, in portions."""
     low, high = blocks.edges[block], blocks.edges[block + 1]
