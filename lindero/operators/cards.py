@@ -146,7 +146,7 @@ def _probes() -> list[_Probe]:
         exact = clean == label
         leads = clean.startswith(label + " ") | clean.startswith(label + ":")
         rest = strip(F.regexp_replace(
-            F.substring(line, len(label) + 1, 1 << 20), r"^[: ]+", ""))
+            F.substr(line, F.lit(len(label) + 1)), r"^[: ]+", ""))
         out.append(_Probe(field, exact | (leads & (rest != blank)),
                           F.when(~exact, rest), "label"))
     for field, pattern in PATTERN_FIELDS.items():

@@ -36,9 +36,11 @@ def attach_coords(rows: DataFrame, coords: DataFrame) -> DataFrame:
     return rows.join(coords.select("rc14", "x", "y", "address"), "rc14", "left")
 
 
-def route(points: DataFrame, registry: Sequence[Municipality] = DEFAULT_REGISTRY,
-          point_id: str = "rc14") -> DataFrame:
-    """Adds `id_ine` of the first entry, in registry order, whose extent holds the point."""
+def route(points: DataFrame, registry: Sequence[Municipality] = DEFAULT_REGISTRY) -> DataFrame:
+    """Adds `id_ine` of the first entry, in registry order, whose extent holds the point.
+
+    Both forms give each row the entry of its own position.
+    """
     if len(registry) <= INLINE_ENTRIES:
         return points.withColumn("id_ine", first_containing(F.col("x"), F.col("y"), registry))
     spark = points.sparkSession
@@ -46,10 +48,12 @@ def route(points: DataFrame, registry: Sequence[Municipality] = DEFAULT_REGISTRY
         [(i, m.id_ine, m.xmin, m.ymin, m.xmax, m.ymax) for i, m in enumerate(registry)],
         "prio int, id_ine int, x0 double, y0 double, x1 double, y1 double",
     ).select("prio", "id_ine", F.struct("x0", "y0", "x1", "y1").alias("_mbox"))
-    where = points.select(point_id, point_box(F.col("x"), F.col("y")).alias("_pbox")).distinct()
-    hits = box_join(where, boxes, "_pbox", "_mbox", point_id).select(point_id, "prio", "id_ine")
-    first = first_per_key(hits, [point_id], [F.col("prio")]).drop("prio")
-    return points.join(first, point_id, "left")
+    # By position, not by key: rows of one key may lie in different places.
+    where = points.select("x", "y", point_box(F.col("x"), F.col("y")).alias("_pbox")).distinct() \
+        .withColumn("_at", F.struct("x", "y"))
+    hits = box_join(where, boxes, "_pbox", "_mbox", "_at").select("x", "y", "prio", "id_ine")
+    first = first_per_key(hits, ["x", "y"], [F.col("prio")]).drop("prio")
+    return points.join(first, ["x", "y"], "left").select(*points.columns, "id_ine")
 
 
 def route_known(points: DataFrame, registry: Sequence[Municipality] = DEFAULT_REGISTRY,
@@ -154,7 +158,7 @@ def rural_columns(points: DataFrame, m: Column) -> DataFrame:
 def available_rural_cells(rural_sheets: DataFrame, m: Municipality) -> DataFrame:
     """Distinct (letter, col, row) of listed rural sheets that lie on the grid."""
     name = F.col("sheet_name")
-    pattern = r"^PLANO_([A-J])_(\d+)\.pdf$"
+    pattern = rf"^PLANO_([{m.snu_letters}])_(\d+)\.pdf$"
     letter = F.regexp_extract(name, pattern, 1)
     col = F.regexp_extract(name, pattern, 2).try_cast("int")
     return (

@@ -50,6 +50,10 @@ def locate_with_quality(requests: DataFrame, coords: DataFrame, sheets: DataFram
     """The flagship job: location plus calibration offset and reliability of every key."""
     located = locate_keys(requests, coords, sheets, registry, raw)
     out = C.attach_quality(C.attach_offsets(located, calibration), calibration)
-    return out.withColumn(
-        "warnings", F.concat(F.col("warnings"), C.quality_warnings())
-    )
+    ok = F.col("reason").isNull()
+    warned = F.when(ok, F.concat(F.col("warnings"), C.quality_warnings())).otherwise(
+        F.col("warnings"))
+    added = [c for c in out.columns if c not in located.columns]
+    # A key without a place on a sheet has no offset, reliability or warning about them.
+    return out.withColumns({"warnings": warned}).withColumns(
+        {c: F.when(ok, F.col(c)) for c in added})

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lindero.operators.skew import first_per_key
 
 # Leading bytes and least sizes by kind of file, tile and rural sheet name forms.
-MAGIC = {"pdf": ("255044462D", 10000), "png": ("89504E47", 1000)}
+MAGIC = {"pdf": (b"%PDF-", 10000), "png": (b"\x89PNG", 1000)}
+# Bytes of the largest value that Spark can hold.
+LARGEST = (1 << 31) - 1025
 TILE_NAME = r"wms_(\d+)_(\d+)_(\d+)_(\d+)_([\d.]+)\.png$"
 RURAL_NAME = r"^PLANO_[A-J]_\d+\.pdf$"
 
@@ -22,11 +24,17 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def heads(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, head): size and first eight bytes of each file."""
+    """(name, bytes, head): size and first eight bytes of each file.
+
+    A file above `LARGEST` bytes does not fit in one value; it is listed with a null head.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.substring("content", 1, 8).alias("head"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    opened = F.col("length") <= LARGEST
+    size = F.col("length").alias("bytes")
+    return files.filter(opened).select(
+        name, size, F.substring("content", 1, 8).alias("head")).union(
+        files.filter(~opened).select(name, size, F.lit(None).cast("binary").alias("head")))
 
 
 def integrity(expected: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,7 +44,7 @@ def integrity(expected: DataFrame, files: DataFrame) -> DataFrame:
     joined = expected.join(one, "name", "left")
     status = F.when(F.col("bytes").isNull(), F.lit("missing"))
     for kind, (magic, _) in MAGIC.items():
-        wrong = ~F.hex("head").startswith(magic)
+        wrong = F.substring("head", 1, len(magic)) != F.lit(magic)
         status = status.when((F.col("kind") == kind) & wrong, F.lit("bad_header"))
     for kind, (_, least) in MAGIC.items():
         status = status.when((F.col("kind") == kind) & (F.col("bytes") < least),

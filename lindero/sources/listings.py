@@ -41,18 +41,21 @@ def _first_url(links: DataFrame, name: str) -> DataFrame:
 
 
 def urban_sheets(pages: DataFrame, base: str, minimum: int = MIN_SHEETS) -> DataFrame:
-    """(sheet_name, url), the first address of each normalised name. Fails when the listing is
-    incomplete."""
+    """(sheet_name, url), the first address of each normalised name.
+
+    Fails at once when the listing is incomplete, an empty one too: the names are counted here, so
+    the check does not hang on which columns or rows a caller reads later.
+    """
     links = _links(pages, URBAN_LINK, 2)
-    rest = F.regexp_replace(F.regexp_replace("g2", r"^PLANO_+", ""), r"^PLANO", "")
+    rest = F.regexp_replace("g2", r"^PLANO_+", "")
     name = F.concat(F.lit("PLANO_"), F.regexp_replace(rest, r"[-_]+", "_"))
     sheets = _first_url(links.select(
         name.alias("sheet_name"), F.concat(F.lit(base), "g1").alias("url"), "page", "pos"),
         "sheet_name")
-    n = sheets.agg(F.count(F.lit(1)).alias("n")).scalar()
-    complete = F.when(n >= minimum, F.col("url")).otherwise(F.raise_error(F.concat(
-        F.lit("incomplete sheet listing: "), n.cast("string"), F.lit(f" < {minimum}"))))
-    return sheets.select("sheet_name", complete.cast("string").alias("url"))
+    n = sheets.count()
+    if n < minimum:
+        raise ValueError(f"incomplete sheet listing: {n} < {minimum}")
+    return sheets.select("sheet_name", "url")
 
 
 def rural_sheets(pages: DataFrame, base: str) -> DataFrame:
@@ -70,13 +73,14 @@ def rural_sheets(pages: DataFrame, base: str) -> DataFrame:
 
 
 def card_listing(pages: DataFrame, base: str) -> DataFrame:
-    """(filename, url, tipo, codigo, num, ord): the first link of each record card."""
+    """(filename, url, tipo, codigo, num, ord): the first link of each record card; ord is
+    (page, pos), in listing order."""
     links = _links(pages, CARD_LINK, 2).select(
         strip(F.col("g2")).alias("filename"), F.concat(F.lit(base), "g1").alias("url"), "page",
         "pos")
     return _first_url(links, "filename").withColumn("_m", card_meta(F.col("filename"))).select(
         "filename", "url", "_m.*",
-        (F.col("page").cast("long") * F.lit(1 << 20) + F.col("pos")).alias("ord"))
+        F.struct("page", "pos").alias("ord"))
 
 
 # Layout of a zone card page.

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import warnings
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# What Spark says of files that are gone or are no Parquet.
+BROKEN = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER",
+          "is not a Parquet file")
+
+
 def write_results(results: DataFrame, path: str, partition: str = "municipality") -> None:
     """Per-key records, one folder per municipality.
 
@@ -47,14 +55,21 @@ class VersionedTable:
         return version
 
     def current(self) -> DataFrame | None:
-        """The newest readable version; a broken one falls back to the one before."""
+        """The newest readable version; with a broken one the version before, and a warning.
+
+        Broken is a version whose files are gone or are no Parquet. Any other failure, such as
+        missing rights or a lost network, is raised.
+        """
         for version in self.versions():
             try:
                 df = self.spark.read.parquet(self.path(version))
-                df.head(1)
+                df.limit(1).collect()
                 return df
-            except Exception:  # noqa: BLE001 - any unreadable version is passed over
-                continue
+            except (PySparkException, Py4JJavaError) as error:
+                if not any(sign in str(error) for sign in BROKEN):
+                    raise
+                warnings.warn(f"{self.path(version)} cannot be read; the version before is used",
+                              stacklevel=2)
         return None
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over alignment labels.
 
 Every job keeps its state in the shared folder: each micro-batch writes one folder named after its
-batch number, so a replayed batch overwrites its own rows and nothing is counted twice.
+query and its batch number, so a replayed batch overwrites its own rows, nothing is counted twice, and
+a second query, whose numbers start again, never touches the rows of the first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,16 @@ from lindero.operators.skew import last_per_key
 from lindero.registry import DEFAULT_REGISTRY, Municipality
 from lindero.sources.sinks import VersionedTable
 
+# Batches of one query after which its store is folded into a snapshot.
+FOLD_EVERY = 20
+
+
+def query_id(spark: SparkSession) -> str:
+    """The streaming query a micro-batch belongs to; it stays the same over restarts from one
+    checkpoint. `batch` for rows that no stream brought."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
 # Accepted labels per recalibration, seconds between polls.
 RECAL_THRESHOLD, POLL_SECONDS = 30, 30
 
@@ -46,32 +57,50 @@ class LabelStore:
             batch = batch.withColumn("deleted", F.lit(False))
         names = [part.split()[0] for part in self.schema.split(", ")]
         last_per_key(batch.select(*names), self.keys, self.order).write.mode("overwrite").parquet(
-            f"{self.base}/delta/batch={batch_id}")
+            f"{self.base}/delta/query={query_id(self.spark)}/batch={batch_id}")
+        if batch_id % FOLD_EVERY == FOLD_EVERY - 1:
+            self.compact()
 
     def _deltas(self) -> DataFrame:
+        """Batches that no snapshot holds; folders of older ones are pruned by their numbers."""
+        schema = f"{self.schema}, query string, batch long"
         try:
-            return self.spark.read.schema(f"{self.schema}, batch long").parquet(
-                f"{self.base}/delta")
+            rows = self.spark.read.schema(schema).parquet(f"{self.base}/delta")
         except AnalysisException:
-            return self.spark.createDataFrame([], f"{self.schema}, batch long")
+            return self.spark.createDataFrame([], schema)
+        folded = self._folded()
+        if not folded:
+            return rows
+        upto = F.create_map(*[F.lit(x) for q, b in sorted(folded.items()) for x in (q, b)])
+        return rows.filter(F.col("batch") > F.coalesce(upto[F.col("query")], F.lit(-1)))
+
+    def _folded(self) -> dict[str, int]:
+        """Newest batch of each query in the current snapshot: one entry per streaming query."""
+        snap = self.snapshots.current()
+        head = None if snap is None else snap.select("folded").head()
+        return dict(head["folded"]) if head else {}
 
     def _state(self) -> DataFrame:
-        rows = self._deltas()
+        rows = self._deltas().drop("query", "batch")
         snap = self.snapshots.current()
         if snap is not None:
-            newest = snap.agg(F.max("batch").alias("b")).scalar()
-            rows = rows.filter(F.col("batch") > F.coalesce(newest, F.lit(-1))).unionByName(snap)
+            rows = rows.unionByName(snap.drop("folded"))
         return last_per_key(rows, self.keys, self.order)
 
     def current(self) -> DataFrame:
         """The labels in force."""
-        return self._state().filter(~F.col("deleted")).drop("deleted", "batch")
+        return self._state().filter(~F.col("deleted")).drop("deleted")
 
     def compact(self) -> int:
         """Fold all batches so far into a new snapshot; deletions stay as markers."""
         state = self._state()
-        newest = self._deltas().agg(F.max("batch").alias("b")).scalar()
-        return self.snapshots.publish(state.withColumn("batch", F.greatest("batch", newest)))
+        newest = self._folded() | {r["query"]: r["b"] for r in self._deltas().groupBy("query").agg(
+            F.max("batch").alias("b")).collect()}
+        if not newest:
+            return 0
+        folded = F.create_map(*[F.lit(x) for q, b in sorted(newest.items()) for x in (q, b)])
+        return self.snapshots.publish(state.withColumn(
+            "folded", folded.cast("map<string,long>")))
 
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
@@ -93,18 +122,20 @@ class AcceptCounter:
 
     def __init__(self, spark: SparkSession, base: str, threshold: int = RECAL_THRESHOLD):
         self.spark, self.base, self.threshold = spark, base, threshold
-        self.schema = "batch_id long, accepts long, fired long, carry long"
+        self.schema = "batch_id long, accepts long, fired long, carry long, total long, query string"
 
     def add(self, batch: DataFrame, batch_id: int) -> int:
         """Count one batch; returns how often the threshold was passed."""
-        earlier = self.batches().filter(F.col("batch_id") < batch_id).agg(
+        query = query_id(self.spark)
+        ours = (F.col("query") == query) & (F.col("batch_id") >= batch_id)
+        earlier = self.batches().filter(~ours).agg(
             F.coalesce(F.sum("accepts"), F.lit(0)).alias("n")).first().n
         accepts = batch.agg(F.count_if(F.col("action") == "accept").alias("n")).first().n
         total = earlier + accepts
         fired = total // self.threshold - earlier // self.threshold
-        row = [(batch_id, accepts, fired, total % self.threshold)]
+        row = [(batch_id, accepts, fired, total % self.threshold, total, query)]
         self.spark.createDataFrame(row, self.schema).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.base}/b{batch_id}")
+            f"{self.base}/{query}/b{batch_id}")
         return fired
 
     def batches(self) -> DataFrame:
@@ -151,7 +182,7 @@ def apply_calibration(stream: DataFrame, calibration: VersionedTable, out: str,
         if current is None:
             current = calibration.spark.createDataFrame([], schemas.CALIBRATION)
         C.attach_quality(C.attach_offsets(batch, current), current).write.mode(
-            "overwrite").parquet(f"{out}/b{batch_id}")
+            "overwrite").parquet(f"{out}/{query_id(batch.sparkSession)}/b{batch_id}")
 
     return _start(stream, handle, checkpoint, continuous)
 
@@ -164,12 +195,13 @@ def gate_stream(stream: DataFrame, out: str, checkpoint: str,
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        gated = f"{out}/results/b{batch_id}"
+        query = query_id(batch.sparkSession)
+        gated = f"{out}/results/{query}/b{batch_id}"
         C.gate_matches(batch).write.mode("overwrite").parquet(gated)
         written = batch.sparkSession.read.parquet(gated)
         written.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn(
             "batch_id", F.lit(batch_id)).coalesce(1).write.mode("overwrite").parquet(
-            f"{out}/stats/b{batch_id}")
+            f"{out}/stats/{query}/b{batch_id}")
 
     return _start(stream, handle, checkpoint, continuous)
 

@@ -112,11 +112,17 @@ def _(spark, sf):
 
 KNOWN = ", ".join(f"'{k}'" for k in C.KNOWN_LABELS)
 LABELS = ", ".join(f"('{f}', '{lab}')" for f, lab in C.LABEL_FIELDS.items())
+# Only lines that begin like some label are held against the labels, by equality of their start.
+SIZES = sorted({len(lab) for lab in C.LABEL_FIELDS.values()})
+STARTS = "left(u, {n}) IN ({heads})".format(
+    n=min(SIZES), heads=", ".join(sorted({f"'{lab[:min(SIZES)]}'" for lab in C.LABEL_FIELDS.values()})))
 D.define("label_values", f"""
 SELECT doc, field, CASE WHEN regexp_replace(upper(v), '\\s+', ' ', 'g') NOT IN ({KNOWN}) THEN v END AS value FROM (
  SELECT h.doc, field, CASE WHEN exact THEN coalesce(nullif(a.s, ''), nullif(b.s, '')) ELSE rest END AS v
  FROM (SELECT *, u = lab AS exact FROM (SELECT doc, pos, u, field, lab, trim(regexp_replace(substr(s, length(lab) + 1), '^[: ]+', '')) AS rest
-        FROM clines, (VALUES {LABELS}) t(field, lab) WHERE u = lab OR starts_with(u, lab || ' ') OR starts_with(u, lab || ':'))
+        FROM (SELECT *, unnest([{", ".join(map(str, SIZES))}]) AS size FROM clines WHERE {STARTS})
+        JOIN (VALUES {LABELS}) t(field, lab) ON lab = left(u, size) AND length(lab) = size
+        WHERE u = lab OR starts_with(u, lab || ' ') OR starts_with(u, lab || ':'))
       WHERE u = lab OR rest <> ''
       QUALIFY row_number() OVER (PARTITION BY doc, field ORDER BY pos) = 1) h
  LEFT JOIN clines a ON a.doc = h.doc AND a.pos = h.pos + 1 LEFT JOIN clines b ON b.doc = h.doc AND b.pos = h.pos + 2)""", "clines")

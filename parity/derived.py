@@ -320,7 +320,12 @@ SELECT rc14 || '0001AA' AS rc, e.event_id AS seq, e.ts,
        (kk / 100.0::DOUBLE)::DOUBLE AS snap_score,
        CASE WHEN kk % 3 = 0 THEN 'UG-' || (e.user_id % 20)::VARCHAR WHEN kk % 3 = 1 THEN '' END AS etiqueta
 FROM (SELECT *, json_extract_string(props, '$.k')::INT AS kk FROM events) e
-JOIN keyed ON k = (e.user_id * 97 + kk) % 1500""", "keyed")
+JOIN keyed ON k = (e.user_id * 97 + kk * 7919) % (SELECT max(o_orderkey) + 1 FROM orders)""", "keyed")
+
+
+def key_range(spark: SparkSession, sf: str, name: str, key: str) -> int:
+    """One more than the largest key of a table: keys made by a remainder reach all of it."""
+    return (table(spark, sf, name).agg(F.max(key)).first()[0] or 0) + 1
 
 
 def label_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
@@ -328,7 +333,8 @@ def label_events(spark: SparkSession, sf: str, events: DataFrame | None = None)
         "kk", F.get_json_object("props", "$.k").cast("int"))
     eid, kk = F.col("event_id"), F.col("kk")
     keys = keyed(spark, sf).select("k", "rc14")
-    e = e.withColumn("k", (F.col("user_id") * 97 + kk) % 1500).join(keys, "k")
+    n = key_range(spark, sf, "orders", "o_orderkey")
+    e = e.withColumn("k", (F.col("user_id") * 97 + kk * 7919) % n).join(keys, "k")
     action = (F.when(F.col("event_type") == "purchase", "accept")
               .when(F.col("event_type") == "error", "reject_unfixable").otherwise("skip"))
     return e.select(

@@ -320,12 +320,12 @@ def _(spark, sf):
 
 
 D.define("plot_units", """
-SELECT lpad((l_orderkey % 1500)::VARCHAR, 7, '0') || 'TP0000' || chr((65 + (l_orderkey % 1500) % 26)::INT) AS rc14
-FROM lineitem""")
+SELECT lpad(c::VARCHAR, 7, '0') || 'TP0000' || chr((65 + c % 26)::INT) AS rc14
+FROM (SELECT l_orderkey % (SELECT max(c_custkey) + 1 FROM customer) AS c FROM lineitem)""")
 
 
 def plot_units(spark, sf):
-    c = F.col("l_orderkey") % 1500
+    c = F.col("l_orderkey") % D.key_range(spark, sf, "customer", "c_custkey")
     return table(spark, sf, "lineitem").select(F.concat(
         F.lpad(c.cast("string"), 7, "0"), F.lit("TP0000"), F.char(65 + c % 26)).alias("rc14"))
 

@@ -42,7 +42,7 @@ SELECT s_suppkey AS ord, CASE s_suppkey % 5 WHEN 0 THEN 'PE-' || (s_suppkey % 9)
   WHEN 1 THEN p_name || ' ' || (s_suppkey % 40)::VARCHAR WHEN 2 THEN p_name
   WHEN 3 THEN 'PGOU ' || p_brand || ' ' || (s_suppkey * 7 % 2000)::VARCHAR ELSE 'FICHA ' || p_name || ' PGOU ' || p_type END AS ambito,
   CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'UG-RC' || (s_suppkey % 90)::VARCHAR ELSE '' END AS etiqueta
-FROM supplier JOIN part ON p_partkey = s_suppkey * 3 % 200""")
+FROM supplier JOIN part ON p_partkey = s_suppkey * 37 % (SELECT max(p_partkey) + 1 FROM part)""")
 
 
 def named_zones(spark, sf):
@@ -57,7 +57,7 @@ def named_zones(spark, sf):
               .otherwise(F.concat(F.lit("FICHA "), n, F.lit(" PGOU "), F.col("p_type"))))
     etiqueta = F.when(three == 1, F.concat(F.lit("UG-RC"), txt(s % 90))).when(three == 2, "")
     return table(spark, sf, "supplier").join(
-        table(spark, sf, "part"), F.col("p_partkey") == s * 3 % 200
+        table(spark, sf, "part"), F.col("p_partkey") == s * 37 % D.key_range(spark, sf, "part", "p_partkey")
     ).select(s.alias("ord"), ambito.alias("ambito"), etiqueta.alias("etiqueta"))
 
 
@@ -104,7 +104,7 @@ D.define("label_zones", """
 SELECT s_suppkey AS ord, CASE s_suppkey % 4
   WHEN 0 THEN 'UG-' || upper(p_name) || ' ' || (p_partkey % 40)::VARCHAR WHEN 1 THEN lower(p_name) || '  ' || (p_partkey % 40)::VARCHAR
   WHEN 2 THEN 'AU_RC' || (p_partkey % 90)::VARCHAR ELSE 'Zona ' || p_name || '-' || (p_partkey % 40)::VARCHAR || ' bis' END AS etiqueta
-FROM supplier JOIN part ON p_partkey = s_suppkey * 7 % 200""")
+FROM supplier JOIN part ON p_partkey = s_suppkey * 71 % (SELECT max(p_partkey) + 1 FROM part)""")
 
 
 def label_zones(spark, sf):
@@ -117,7 +117,7 @@ def label_zones(spark, sf):
          .when(four == 1, F.concat(F.lower("p_name"), F.lit("  "), txt(k % 40)))
          .when(four == 2, F.concat(F.lit("AU_RC"), txt(k % 90)))
          .otherwise(F.concat(F.lit("Zona "), "p_name", F.lit("-"), txt(k % 40), F.lit(" bis"))))
-    return table(spark, sf, "supplier").join(table(spark, sf, "part"), k == s * 7 % 200).select(
+    return table(spark, sf, "supplier").join(table(spark, sf, "part"), k == s * 71 % D.key_range(spark, sf, "part", "p_partkey")).select(
         s.alias("ord"), e.alias("etiqueta"))
 
 
@@ -140,7 +140,7 @@ def _(spark, sf):
 D.define("searches", """
 SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN ' rc' || (c_custkey % 120)::VARCHAR || ' ' WHEN 1 THEN (c_custkey * 3)::VARCHAR
   WHEN 2 THEN lower(p_name) WHEN 3 THEN substr(replace(p_name, ' ', '_'), 2, 5) ELSE substr(p_name, 1, 2) END AS q
-FROM customer JOIN part ON p_partkey = c_custkey % 200""")
+FROM customer JOIN part ON p_partkey = c_custkey % (SELECT max(p_partkey) + 1 FROM part)""")
 
 
 def searches(spark, sf):
@@ -151,7 +151,7 @@ def searches(spark, sf):
          .when(five == 3, F.substring(F.translate("p_name", " ", "_"), 2, 5))
          .otherwise(F.substring("p_name", 1, 2)))
     return table(spark, sf, "customer").join(
-        table(spark, sf, "part"), F.col("p_partkey") == c % 200).select(q.alias("q")).distinct()
+        table(spark, sf, "part"), F.col("p_partkey") == c % D.key_range(spark, sf, "part", "p_partkey")).select(q.alias("q")).distinct()
 
 
 @add("jn19_find_cards", with_sql(r"""

@@ -308,14 +308,18 @@ def _(spark, sf):
 
 @add("loc_with_quality", with_sql("""
 SELECT l.k, l.reason, CASE WHEN l.reason IS NULL THEN l.sheet_name END AS sheet_name,
+  CASE WHEN l.reason IS NULL THEN concat_ws('|', b.warning, w.qwarning) END AS warnings,
   CASE WHEN l.reason IS NULL THEN round_even(odx, 0)::INT END AS cal_dx,
   CASE WHEN l.reason IS NULL THEN round_even(ody, 0)::INT END AS cal_dy,
   CASE WHEN l.reason IS NULL THEN w.reliability END AS reliability,
   CASE WHEN l.reason IS NULL THEN w.residual_m END AS residual_m
-FROM located l LEFT JOIN coords c ON c.rc14 = l.rc14 LEFT JOIN warned w ON w.k = c.k""", "located", "warned"))
+FROM located l LEFT JOIN coords c ON c.rc14 = l.rc14 LEFT JOIN warned w ON w.k = c.k
+LEFT JOIN bordered b ON b.k = c.k""", "located", "warned", "bordered"))
 def _(spark, sf):
     out = P.locate_with_quality(
         D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf), D.calib(spark, sf))
     ok = F.col("reason").isNull()
-    return out.select("k", "reason", *[F.when(ok, F.col(c)).alias(c) for c in (
-        "sheet_name", "cal_dx", "cal_dy", "reliability", "residual_m")])
+    return out.select(
+        "k", "reason", F.when(ok, F.col("sheet_name")).alias("sheet_name"),
+        F.when(ok, F.array_join("warnings", "|")).alias("warnings"), "cal_dx", "cal_dy",
+        "reliability", "residual_m")

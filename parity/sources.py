@@ -324,13 +324,14 @@ def _(spark, sf):
 @add("src9_card_listing", """
 SELECT 'ZONA_' || (page_id % 90)::VARCHAR || '_UG_RC' || (page_id % 90 % 7)::VARCHAR || '_Ficha_n_' || lpad((page_id % 90)::VARCHAR, 4, '0') || '_PGOU.pdf' AS filename,
   'https://town.example/documents/35127/c' || min(page_id)::VARCHAR AS url, 'UG' AS tipo, 'RC' || (page_id % 90 % 7)::VARCHAR AS codigo,
-  (page_id % 90)::INT AS num, min(page_id) * 1048576 AS ord FROM pages GROUP BY page_id % 90""")
+  (page_id % 90)::INT AS num, min(page_id) AS page, 0 AS pos FROM pages GROUP BY page_id % 90""")
 def _(spark, sf):
     m = F.col(P) % 90
     name = F.concat(F.lit("ZONA_"), txt(m), F.lit("_UG_RC"), txt(m % 7), F.lit("_Ficha_n_"),
                     F.lpad(txt(m), 4, "0"), F.lit("_PGOU.pdf"))
     links = [anchor(F.concat(F.lit("/documents/35127/c"), txt(F.col(P))), name)]
-    return LI.card_listing(linked_pages(spark, sf, links), "https://town.example")
+    cards = LI.card_listing(linked_pages(spark, sf, links), "https://town.example")
+    return cards.select("filename", "url", "tipo", "codigo", "num", "ord.page", "ord.pos")
 
 
 @add("src10_zone_cards", """

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lindero.functions import text as T
@@ -191,12 +193,44 @@ def test_incomplete_listing_fails(spark):
         [(1, '<a href="/documents/35127/ab?x" class="card-title">PLANO__9-K__I.pdf</a>')],
         "page int, body string")
     assert listings.urban_sheets(page, "https://t", 1).first().sheet_name == "PLANO_9_K_I.pdf"
-    try:
-        listings.urban_sheets(page, "https://t").collect()
-    except Exception as e:  # noqa: BLE001
-        assert "incomplete sheet listing" in str(e)
-    else:
-        raise AssertionError("must fail")
+    dashes = page.select("page", F.regexp_replace("body", "PLANO__9", "PLANO-9").alias("body"))
+    assert listings.urban_sheets(dashes, "https://t", 1).first().sheet_name == "PLANO_PLANO_9_K_I.pdf"
+    for pages in (page, page.limit(0)):
+        with pytest.raises(ValueError, match="incomplete sheet listing"):
+            listings.urban_sheets(pages, "https://t")
+
+
+def test_links_of_one_page_keep_their_order(spark):
+    link = '<a href="/documents/35127/c{}" class="card-title"> UG_RC1_{}_PGOU.pdf</a>'
+    pages = spark.createDataFrame([(2, link.format(1, "A")), (1, link.format(2, "B") + link.format(
+        3, "A"))], "page int, body string")
+    found = listings.card_listing(pages, "https://t").orderBy("ord").collect()
+    assert [(r.url[-2:], r.ord.page, r.ord.pos) for r in found] == [("c2", 1, 0), ("c3", 1, 1)]
+
+
+def test_a_very_long_value_is_kept_whole(spark):
+    from lindero.operators import cards
+    long = "A" * 1_100_000
+    lines = spark.createDataFrame([(1, 0, f"CLAVE {long}")], "doc long, pos int, text string")
+    assert cards.field_values(lines).filter("field = 'clave'").first().value == long
+
+
+def test_common_tokens_never_crowd_out_cards(spark):
+    names = [f"Q_3_X_4_Y_5_Z{i}.pdf" for i in range(8)] + [f"W_A_3_V{i}.pdf" for i in range(3)]
+    pick = random.Random(9)
+    part = ["A", "B", "3", "4", "5", "RIO", "PGOU", "77"]
+    names += ["_".join(pick.choices(part, k=4)) + f"_N{i}.pdf" for i in range(25)]
+    zones = [("A 3 B 4 C 5", None), ("A 3", "x"), ("3 4", None), ("RIO 3 A", ""), ("PGOU 77", None)]
+    zones += [(" ".join(pick.choices(part, k=pick.randint(1, 4))), pick.choice([None, "", "B 4"]))
+              for _ in range(25)]
+    z = spark.createDataFrame(zones, "ambito string, etiqueta string")
+    c = spark.createDataFrame(list(enumerate(names)), "ord long, filename string")
+    want = {k: v for k, v in brute_links(zones, names).items() if v}
+    for common in (0, 1, 3, 256):
+        got = {}
+        for r in linkage.match_cards(z, c, common).orderBy("rank").collect():
+            got.setdefault((r.ambito, r.etiqueta), []).append((r.filename, r.score))
+        assert got == want, common
 
 
 def test_parts_and_latency(spark):

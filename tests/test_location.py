@@ -72,6 +72,26 @@ def test_large_registry_routes_like_the_inline_form(spark):
         assert ine == want
 
 
+def test_rows_of_one_key_are_routed_by_their_own_place(spark):
+    for n in (64, 65, 200):
+        many = [Municipality(id_ine=i, slug=str(i), xmin=i * 10.0, ymin=0.0, xmax=i * 10.0 + 9,
+                             ymax=50.0) for i in range(n)]
+        df = spark.createDataFrame([("k", 5.0, 1.0), ("k", 105.0, 1.0), ("k", 1e6, 1.0),
+                                    (None, 5.0, 1.0), ("k", None, None)],
+                                   "rc14 string, x double, y double")
+        got = sorted(L.route(df, many).collect(), key=repr)
+        assert sorted((repr(r.rc14), repr(r.x), r.id_ine) for r in got if r.id_ine is not None) == [
+            ("'k'", "105.0", 10), ("'k'", "5.0", 0), ("None", "5.0", 0)] and len(got) == 5
+
+
+def test_rural_letters_come_from_the_entry(spark):
+    from dataclasses import replace
+    from lindero.registry import DEFAULT_REGISTRY
+    wide = replace(DEFAULT_REGISTRY[0], snu_letters="ABCDEFGHIJKL", snu_rows=12)
+    sheets = spark.createDataFrame([("PLANO_L_3.pdf",), ("PLANO_M_3.pdf",)], "sheet_name string")
+    assert [tuple(r) for r in L.available_rural_cells(sheets, wide).collect()] == [("L", 3, 11)]
+
+
 def test_reject_reasons(spark):
     coords = spark.createDataFrame([
         ("1111111TP1111A", 270012.86, 4805037.449, "a"), ("2222222TP2222A", 100.0, 100.0, "b"),

@@ -44,6 +44,30 @@ def test_upsert_over_batches_with_delete_and_compaction(spark, tmp_path):
     assert store.current().count() == 1
 
 
+def test_a_second_query_keeps_what_the_first_has_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "FOLD_EVERY", 2)
+    store = ST.LabelStore(spark, str(tmp_path / "store"))
+    counter = ST.AcceptCounter(spark, str(tmp_path / "count"), 3)
+    want = {}
+    for q in ("one", "two"):   # each with a checkpoint and batch numbers of its own
+        src = str(tmp_path / q)
+        for i in range(3):
+            write(spark, [label(f"{q}{i}", "accept", i, i, i), label("both", "skip", i, 9 + i, i)], src)
+            want[f"{q}{i}"] = i
+
+        def handle(batch, batch_id):
+            store.append(batch, batch_id)
+            counter.add(batch, batch_id)
+
+        ST._start(stream(spark, src), handle, str(tmp_path / f"cp{q}"), False).awaitTermination()
+    got = {r.rc: r.dx for r in store.current().collect()}
+    assert got == want | {"both": 2}
+    assert len(store.snapshots.versions()) == 2
+    rows = counter.batches().collect()
+    assert len(rows) == 6 and sum(r.accepts for r in rows) == 6 and sum(r.fired for r in rows) == 2
+    assert store.compact() == 3 and {r.rc: r.dx for r in store.current().collect()} == got
+
+
 def test_threshold_fires_across_batches_and_replays(spark, tmp_path):
     counter = ST.AcceptCounter(spark, str(tmp_path / "count"))
     batch = spark.createDataFrame([label(f"k{i}", "accept", 0, i, i) for i in range(20)],
