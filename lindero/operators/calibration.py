@@ -2,17 +2,21 @@
 
 A calibration is one long table: level (`quadrant`, `cell`, `global`), key, dx, dy, and for
 quadrants the label statistics. `direct` marks cells that have quadrant data of their own; a cell
-row with `direct` false was interpolated.
+row with `direct` false was interpolated. A calibration of several municipalities has `id_ine` as
+well, and is then read and merged by municipality.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions import grid
 from lindero.operators.skew import last_per_key
-from lindero.registry import DEFAULT_REGISTRY, Municipality, as_struct
+from lindero.registry import DEFAULT_REGISTRY, Municipality, as_struct, first_containing, \
+    lookup_struct, town_keys
 
 # Displayed pixels are half of native ones.
 DISPLAY_TO_NATIVE = 2
@@ -35,18 +39,19 @@ def card_labels(labels: DataFrame) -> DataFrame:
     return latest_labels(named, ("rc", "etiqueta"))
 
 
-def medians(values: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def medians(values: DataFrame, key: str | Sequence[str], columns: list[str]) -> DataFrame:
     """Exact median of several columns per key, with `n`, and sample deviation `std_<column>`.
 
     Equal values are counted before they are gathered, so a key with very many labels contributes
     as many entries as it has distinct pixel values, which the sheet size bounds.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     long = values.select(
-        key, F.explode(F.array(*[
+        *keys, F.explode(F.array(*[
             F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in columns
         ])).alias("_e"),
-    ).select(key, "_e.axis", "_e.v")
-    counted = long.groupBy(key, "axis", "v").agg(F.count(F.lit(1)).alias("w"))
+    ).select(*keys, "_e.axis", "_e.v")
+    counted = long.groupBy(*keys, "axis", "v").agg(F.count(F.lit(1)).alias("w"))
     v, w = F.col("v"), F.col("w")
     aggs = []
     for c in columns:
@@ -62,21 +67,30 @@ def medians(values: DataFrame, key: str, columns: list[str]) -> DataFrame:
                                  / (n * (n - 1))))
             .otherwise(F.lit(0.0)).alias(f"std_{c}"),
         ]
-    out = counted.groupBy(key).agg(*aggs).withColumn("n", F.col(f"_n_{columns[0]}"))
+    out = counted.groupBy(*keys).agg(*aggs).withColumn("n", F.col(f"_n_{columns[0]}"))
     return out.drop(*[f"_n_{c}" for c in columns])
 
 
+Towns = Municipality | Sequence[Municipality]
+
+
 def label_estimates(labels: DataFrame, coords: DataFrame,
-                    entry: Municipality = DEFAULT_REGISTRY[0]) -> DataFrame:
+                    entry: Towns = DEFAULT_REGISTRY[0]) -> DataFrame:
     """Accepted labels with their quadrant `key` (null = skipped) and offset estimate `ex`, `ey`.
 
     The estimate is absolute: offset in force plus the drag in native pixels. Labels without
-    coordinates or outside the grid rows are skipped but stay visible.
+    coordinates or outside the grid rows are skipped but stay visible. With several municipalities
+    each label belongs to the first whose extent holds it, which `id_ine` then names.
     """
-    m = as_struct(entry)
     accepted = labels.filter(F.col("action") == "accept").withColumn(
         "rc14", F.left(F.col("rc"), F.lit(14)))
     placed = accepted.join(coords.select("rc14", "x", "y"), "rc14", "left")
+    town = []
+    if isinstance(entry, Municipality):
+        m = as_struct(entry)
+    else:
+        placed = placed.withColumn("id_ine", first_containing(F.col("x"), F.col("y"), entry))
+        m, town = lookup_struct(F.col("id_ine"), entry), ["id_ine"]
     col, row = grid.col_index(F.col("x"), m), grid.row_index(F.col("y"), m)
     corner = grid.compass(
         grid.x_within(F.col("x"), col, m), grid.y_within(F.col("y"), row, m), m)
@@ -87,7 +101,7 @@ def label_estimates(labels: DataFrame, coords: DataFrame,
         return F.coalesce(F.col(name), F.lit(0))
 
     return placed.select(
-        "rc", F.when(grid.row_valid(row), key).alias("key"),
+        *town, "rc", F.when(grid.row_valid(row), key).alias("key"),
         (whole("cal_dx") + whole("dx") * DISPLAY_TO_NATIVE).alias("ex"),
         (whole("cal_dy") + whole("dy") * DISPLAY_TO_NATIVE).alias("ey"),
     )
@@ -95,10 +109,11 @@ def label_estimates(labels: DataFrame, coords: DataFrame,
 
 def quadrant_offsets(estimates: DataFrame) -> DataFrame:
     """Median offset and spread per quadrant."""
-    m = medians(estimates.filter(F.col("key").isNotNull()), "key", ["ex", "ey"])
+    town = town_keys(estimates)
+    m = medians(estimates.filter(F.col("key").isNotNull()), [*town, "key"], ["ex", "ey"])
     sx, sy = F.col("std_ex"), F.col("std_ey")
     return m.select(
-        "key", F.bround("ex", 1).alias("dx"), F.bround("ey", 1).alias("dy"), "n",
+        *town, "key", F.bround("ex", 1).alias("dx"), F.bround("ey", 1).alias("dy"), "n",
         F.bround(sx, 2).alias("std_x"), F.bround(sy, 2).alias("std_y"),
         F.bround(F.sqrt(sx * sx + sy * sy), 2).alias("residual_px"),
     )
@@ -110,11 +125,12 @@ def merge_offsets(old: DataFrame, new: DataFrame) -> DataFrame:
     `old_dx`, `old_dy` report what was in force (0 when nothing was).
     """
     names = ("dx", "dy", "n", "std_x", "std_y", "residual_px")
-    a = old.select("key", *[F.col(c).alias(f"o_{c}") for c in names])
-    b = new.select("key", *[F.col(c).alias(f"n_{c}") for c in names])
+    keys = [*town_keys(old, new), "key"]
+    a = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in names])
+    b = new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in names])
     fresh = F.col("n_dx").isNotNull()
-    return a.join(b, "key", "full_outer").select(
-        "key",
+    return a.join(b, keys, "full_outer").select(
+        *keys,
         *[F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in names],
         F.coalesce("o_dx", F.lit(0.0)).alias("old_dx"),
         F.coalesce("o_dy", F.lit(0.0)).alias("old_dy"),
@@ -129,25 +145,26 @@ def cell_of(key: Column) -> Column:
 
 def calibration_levels(quadrants: DataFrame) -> DataFrame:
     """The long calibration table: quadrants, cells (median of their quadrants' offsets) and the
-    global offset (median of all quadrant offsets, not of the labels)."""
+    global offset (median of all quadrant offsets, not of the labels), one per municipality."""
     none = F.lit(None)
+    town = town_keys(quadrants)
     level_q = quadrants.select(
-        F.lit("quadrant").alias("level"), "key", "dx", "dy", F.col("n").cast("long").alias("n"),
+        *town, F.lit("quadrant").alias("level"), "key", "dx", "dy", F.col("n").cast("long").alias("n"),
         "std_x", "std_y", "residual_px", F.lit(True).alias("direct"),
     )
 
     def upper(rows: DataFrame, level: str) -> DataFrame:
-        m = medians(rows, "key", ["dx", "dy"])
+        m = medians(rows, [*town, "key"], ["dx", "dy"])
         return m.select(
-            F.lit(level).alias("level"), "key", F.bround("dx", 1).alias("dx"),
+            *town, F.lit(level).alias("level"), "key", F.bround("dx", 1).alias("dx"),
             F.bround("dy", 1).alias("dy"), none.cast("long").alias("n"),
             none.cast("double").alias("std_x"), none.cast("double").alias("std_y"),
             none.cast("double").alias("residual_px"), F.lit(True).alias("direct"),
         )
 
-    cells = upper(quadrants.select(cell_of(F.col("key")).alias("key"), "dx", "dy"), "cell")
+    cells = upper(quadrants.select(*town, cell_of(F.col("key")).alias("key"), "dx", "dy"), "cell")
     # One row per quadrant goes in here: their number is bounded by the grid.
-    everywhere = upper(quadrants.select(F.lit("").alias("key"), "dx", "dy"), "global")
+    everywhere = upper(quadrants.select(*town, F.lit("").alias("key"), "dx", "dy"), "global")
     return level_q.unionByName(cells).unionByName(everywhere)
 
 
@@ -161,7 +178,7 @@ def calibration_lists(calibration: DataFrame) -> DataFrame:
 
 
 def recalibrate(labels: DataFrame, coords: DataFrame, old: DataFrame | None = None,
-                entry: Municipality = DEFAULT_REGISTRY[0]) -> DataFrame:
+                entry: Towns = DEFAULT_REGISTRY[0]) -> DataFrame:
     """Labels -> new calibration table. Absolute, so running it twice changes nothing."""
     new = quadrant_offsets(label_estimates(labels, coords, entry))
     if old is not None:
@@ -186,25 +203,28 @@ def card_calibration(labels: DataFrame) -> DataFrame:
 # ---- reading a calibration --------------------------------------------------------------------
 
 
-def _level(calibration: DataFrame, level: str, key: str, **columns: str) -> DataFrame:
+def _level(calibration: DataFrame, town: list[str], level: str, key: str,
+           **columns: str) -> DataFrame:
     return calibration.filter(F.col("level") == level).select(
-        F.col("key").alias(key), *[F.col(src).alias(out) for out, src in columns.items()])
+        *town, F.col("key").alias(key), *[F.col(src).alias(out) for out, src in columns.items()])
 
 
 def attach_offsets(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     """Adds whole-pixel `cal_dx`, `cal_dy`: of the quadrant, else the cell, else global, else 0.
 
-    Needs `cell` and `sub`. The global row is a scalar, so no cross join is planned.
+    Needs `cell` and `sub`, and `id_ine` for a calibration of several municipalities. The global
+    row of a single one is a scalar, so no cross join is planned.
     """
-    q = _level(calibration, "quadrant", "_q", _qx="dx", _qy="dy")
-    c = _level(calibration, "cell", "_c", _cx="dx", _cy="dy")
-    overall = calibration.filter(F.col("level") == "global").agg(
-        F.first(F.struct("dx", "dy"), ignorenulls=True).alias("g")).scalar()
+    town = town_keys(rows, calibration)
+    q = _level(calibration, town, "quadrant", "_q", _qx="dx", _qy="dy")
+    c = _level(calibration, town, "cell", "_c", _cx="dx", _cy="dy")
+    overall = calibration.filter(F.col("level") == "global").groupBy(*town).agg(
+        F.first(F.struct("dx", "dy"), ignorenulls=True).alias("_g"))
     out = (
-        rows.withColumn("_q", F.concat_ws("-", "cell", "sub")).join(q, "_q", "left")
-        .withColumn("_c", F.col("cell")).join(c, "_c", "left")
-        .withColumn("_g", overall)
+        rows.withColumn("_q", F.concat_ws("-", "cell", "sub")).join(q, [*town, "_q"], "left")
+        .withColumn("_c", F.col("cell")).join(c, [*town, "_c"], "left")
     )
+    out = out.join(overall, town, "left") if town else out.withColumn("_g", overall.scalar())
 
     def pick(axis: str) -> Column:
         value = F.when(F.col("_qx").isNotNull(), F.col(f"_q{axis}")) \
@@ -218,12 +238,13 @@ def attach_offsets(rows: DataFrame, calibration: DataFrame) -> DataFrame:
 
 def attach_quality(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     """Adds source, n_labels, residual_px, residual_m and reliability of the offset in force."""
+    town = town_keys(rows, calibration)
     q = calibration.filter((F.col("level") == "quadrant") & F.col("n").isNotNull()).select(
-        F.col("key").alias("_q"), F.col("n").alias("_n"), F.col("residual_px").alias("_res"))
-    c = _level(calibration, "cell", "_c", _direct="direct")
+        *town, F.col("key").alias("_q"), F.col("n").alias("_n"), F.col("residual_px").alias("_res"))
+    c = _level(calibration, town, "cell", "_c", _direct="direct")
     out = (
-        rows.withColumn("_q", F.concat_ws("-", "cell", "sub")).join(q, "_q", "left")
-        .withColumn("_c", F.col("cell")).join(c, "_c", "left")
+        rows.withColumn("_q", F.concat_ws("-", "cell", "sub")).join(q, [*town, "_q"], "left")
+        .withColumn("_c", F.col("cell")).join(c, [*town, "_c"], "left")
     )
     n, res = F.col("_n"), F.col("_res")
     source = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lindero.functions import grid, keys
 from lindero.operators.skew import first_per_key
 from lindero.operators.spatial import box_join, point_box
 from lindero.registry import DEFAULT_REGISTRY, Municipality, as_struct, first_containing, \
-    lookup_struct
+    lookup_struct, town_keys
 
 # Up to this many registry entries the routing is one CASE expression; beyond it, a box join.
 INLINE_ENTRIES = 64
@@ -96,14 +97,16 @@ def grid_columns(points: DataFrame, m: Column) -> DataFrame:
 
 
 def attach_sheets(rows: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Left join on the sheet name; `sheets` holds one row per name.
+    """Left join on the sheet name; `sheets` holds one row per name, or per `id_ine` and name where
+    it lists several municipalities.
 
     The listing grows with the municipalities served, so its size decides the join: Spark
     broadcasts it only below its threshold and otherwise shuffles with skew splitting.
     """
+    town = town_keys(rows, sheets)
     return rows.join(
-        sheets.select("sheet_name", F.col("url").alias("sheet_url")), "sheet_name", "left"
-    )
+        sheets.select(*town, "sheet_name", F.col("url").alias("sheet_url")),
+        [*town, "sheet_name"], "left")
 
 
 def edge_neighbours(points: DataFrame, sheets: DataFrame, m: Column,
@@ -137,8 +140,9 @@ def edge_neighbours(points: DataFrame, sheets: DataFrame, m: Column,
                 F.posexplode(F.array_compact(sides)).alias("ord", "_n"))
         .select("*", "_n.*").drop("_n")
     )
-    listed = sheets.select(F.col("sheet_name").alias("n_sheet"))
-    return out.join(listed, "n_sheet", "left_semi")
+    town = town_keys(out, sheets)
+    listed = sheets.select(*town, F.col("sheet_name").alias("n_sheet"))
+    return out.join(listed, [*town, "n_sheet"], "left_semi")
 
 
 # ---- rural sheets ---------------------------------------------------------------------------
@@ -170,18 +174,27 @@ def available_rural_cells(rural_sheets: DataFrame, m: Municipality) -> DataFrame
     )
 
 
-def nearest_rural_sheet(points: DataFrame, rural_sheets: DataFrame,
-                        entry: Municipality = DEFAULT_REGISTRY[0]) -> DataFrame:
+def nearest_rural_sheet(
+        points: DataFrame, rural_sheets: DataFrame,
+        entry: Municipality | Sequence[Municipality] = DEFAULT_REGISTRY[0]) -> DataFrame:
     """Adds `snu_sheet`: the cell's own sheet, else the nearest listed one; null outside the grid.
 
     Nearest means least Chebyshev distance in cells, then least squared distance, then letter and
     column. The listed cells fit in one array of at most cols x rows entries, so each point is
-    resolved in a projection and nothing is shuffled.
+    resolved in a projection and nothing is shuffled. With several municipalities points and
+    rural_sheets carry `id_ine`; there is then one such array for each.
     """
-    on_grid = available_rural_cells(rural_sheets, entry)
-    listed = on_grid.agg(F.array_sort(F.collect_set(F.struct("letter", "col", "row")))
-                         .alias("a")).scalar()
-    located = rural_columns(points, as_struct(entry)).withColumn("_listed", listed)
+    gathered = F.array_sort(F.collect_set(F.struct("letter", "col", "row"))).alias("_listed")
+    if isinstance(entry, Municipality):
+        listed = available_rural_cells(rural_sheets, entry).agg(gathered).scalar()
+        located = rural_columns(points, as_struct(entry)).withColumn("_listed", listed)
+    else:
+        parts = [available_rural_cells(rural_sheets.filter(F.col("id_ine") == m.id_ine), m)
+                 .agg(gathered).withColumn("id_ine", F.lit(m.id_ine))
+                 for m in entry if m.snu_letters]
+        listed = reduce(DataFrame.unionByName, parts)
+        located = rural_columns(points, lookup_struct(F.col("id_ine"), entry)).join(
+            listed, "id_ine", "left")
 
     def distance(s: Column) -> Column:
         dc, dr = F.abs(s["col"] - F.col("snu_col")), F.abs(s["row"] - F.col("snu_row"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,14 @@ _DOUBLES = (
 _INTS = ("snu_cols", "snu_rows")
 
 
+def town_keys(*tables: DataFrame) -> list[str]:
+    """`id_ine`, to be joined or grouped on as well, where all the tables tell municipalities apart.
+
+    Sheets, cells and quadrants have the same names in every gridded municipality.
+    """
+    return ["id_ine"] if all("id_ine" in t.columns for t in tables) else []
+
+
 def as_struct(entry: Municipality) -> Column:
     """The entry as one struct literal, so expressions can read `m.cell_w` and the like."""
     parts = [F.lit(entry.id_ine).alias("id_ine"), F.lit(entry.slug).alias("slug")]

@@ -84,6 +84,41 @@ def test_rows_of_one_key_are_routed_by_their_own_place(spark):
             ("'k'", "105.0", 10), ("'k'", "5.0", 0), ("None", "5.0", 0)] and len(got) == 5
 
 
+def test_two_gridded_municipalities_with_equal_names(spark):
+    from dataclasses import replace
+    from lindero.operators import calibration as C
+    from lindero.plans.location import locate_with_quality
+    from lindero.registry import DEFAULT_REGISTRY
+    home, shift = DEFAULT_REGISTRY[0], 100_000.0
+    away = replace(home, id_ine=2, xmin=home.xmin + shift, xmax=home.xmax + shift,
+                   x0=home.x0 + shift, snu_x0=home.snu_x0 + shift)
+    towns = (home, away)
+    x, y = 270012.86, 4805037.449
+    coords = spark.createDataFrame([("1111111TP1111A", x, y, "a"), ("2222222TP2222A", x + shift, y, "b")],
+                                   "rc14 string, x double, y double, address string")
+    sheets = spark.createDataFrame([(home.id_ine, "PLANO_16_K_I.pdf", "home"),
+                                    (2, "PLANO_16_K_I.pdf", "away")],
+                                   "id_ine int, sheet_name string, url string")
+    labels = spark.createDataFrame(
+        [("1111111TP1111A", "accept", 5, 5, 0, 0), ("2222222TP2222A", "accept", 20, 1, 0, 0)],
+        "rc string, action string, dx int, dy int, cal_dx int, cal_dy int")
+    calibration = C.recalibrate(labels, coords, None, towns)
+    again = C.recalibrate(labels, coords, calibration, towns)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, calibration.collect()))
+    assert calibration.count() == 6
+    requests = spark.createDataFrame([("1111111TP1111A",), ("2222222TP2222A",), ("bad",)], "raw string")
+    got = {r.raw: r for r in locate_with_quality(requests, coords, sheets, calibration, towns).collect()}
+    assert len(got) == 3 and got["bad"].cal_dx is None and got["bad"].reliability is None
+    one, two = got["1111111TP1111A"], got["2222222TP2222A"]
+    assert (one.sheet_url, one.cal_dx, one.cal_dy, one.n_labels) == ("home", 10, 10, 1)
+    assert (two.sheet_url, two.cal_dx, two.cal_dy, two.n_labels) == ("away", 40, 2, 1)
+    rural = spark.createDataFrame([(home.id_ine, "PLANO_A_1.pdf"), (2, "PLANO_B_2.pdf")],
+                                  "id_ine int, sheet_name string")
+    points = L.route(coords, towns)
+    near = {r.rc14[0]: r.snu_sheet for r in L.nearest_rural_sheet(points, rural, towns).collect()}
+    assert near == {"1": "PLANO_A_1.pdf", "2": "PLANO_B_2.pdf"}
+
+
 def test_rural_letters_come_from_the_entry(spark):
     from dataclasses import replace
     from lindero.registry import DEFAULT_REGISTRY
