@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions import grid, keys
-from lindero.operators.skew import first_per_key
+from lindero.operators.skew import first_per_key, join_known
 from lindero.operators.spatial import box_join, point_box
 from lindero.registry import DEFAULT_REGISTRY, Municipality, as_struct, first_containing, \
     lookup_struct, town_keys
@@ -32,9 +32,9 @@ def attach_coords(rows: DataFrame, coords: DataFrame) -> DataFrame:
     """Left join on `rc14`; `coords` has one row per key. Misses keep null coordinates.
 
     No broadcast is forced: the coordinate table grows with the cadastre. A key that many requests
-    share is split at run time by the adaptive skew join.
+    share is split at run time by the adaptive skew join; refused keys (null) are spread out.
     """
-    return rows.join(coords.select("rc14", "x", "y", "address"), "rc14", "left")
+    return join_known(rows, coords.select("rc14", "x", "y", "address"), "rc14")
 
 
 def route(points: DataFrame, registry: Sequence[Municipality] = DEFAULT_REGISTRY) -> DataFrame:

@@ -60,6 +60,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_known(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many rows lack.
+
+    A null key matches nothing, but all null keys meet in one task; here each such row gets a key of
+    its own that no table row has.
+    """
+    own = F.coalesce(F.concat(F.lit("="), F.col(key)),
+                     F.concat(F.lit("?"), F.xxhash64(*rows.columns).cast("string")))
+    known = table.withColumn("_known", F.concat(F.lit("="), F.col(key))).drop(key)
+    return rows.withColumn("_known", own).join(known, "_known", "left").drop("_known")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given ascending order.
 

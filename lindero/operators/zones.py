@@ -55,9 +55,16 @@ def main_zone(hits: DataFrame, point_id: str) -> DataFrame:
 
 
 def overlapping_zones(hits: DataFrame, point_id: str) -> DataFrame:
-    """The other zones of each point, by rank after the main one."""
-    main = main_zone(hits, point_id).select(point_id, F.col("id").alias("_main"))
-    return hits.join(main, point_id).filter(F.col("id") != F.col("_main")).drop("_main")
+    """The other zones of each point, by rank after the main one.
+
+    One aggregate over the hits, so the join below it runs once; a point gathers its own zones only.
+    """
+    rest = [c for c in hits.columns if c not in (point_id, "area", "ord")]
+    gathered = hits.groupBy(point_id).agg(
+        F.array_sort(F.collect_list(F.struct("area", "ord", *rest))).alias("_all"))
+    others = F.filter("_all", lambda z: z["id"] != F.col("_all")[0]["id"])
+    return gathered.select(point_id, F.explode(others).alias("_z")).select(
+        *[F.col(c) if c == point_id else F.col(f"_z.{c}") for c in hits.columns])
 
 
 def keys_in_zones(points: DataFrame, zones: DataFrame, point_id: str, **opts) -> DataFrame:
