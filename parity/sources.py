@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lindero.functions import text as T
 from lindero.operators import zones as Z
 from lindero.plans import enrichment as E
+from lindero.operators import calibration as C
 from lindero.plans.location import locate_keys
+from lindero.plans.records import result_records
 from lindero.session import fresh_path
 from lindero.sources import files as FI
 from lindero.sources import listings as LI
@@ -389,14 +391,36 @@ def _(spark, sf):
 # ---- sinks ----------------------------------------------------------------------------------
 
 @add("snk1_result_records", with_sql("""
-SELECT k, rc14, 'm' || id_ine::VARCHAR AS municipality, sheet_name, round_even(rx_raw, 4) AS rx FROM located WHERE reason IS NULL""", "located"))
+SELECT l.k, v.rc, l.address, l.x, l.y, l.cell, l.sub AS sub_quadrant, l.compass AS sub_compass, l.sheet_name, l.url AS sheet_url,
+  concat_ws('|', l.warning, w.qwarning) AS warnings, round_even(l.rx_raw, 4) AS rx, round_even(l.ry_raw, 4) AS ry,
+  sc.dx AS snap_dx, sc.dy AS snap_dy, sc.score AS snap_score, w.reliability, w.residual_m, coalesce(u.n, 0) AS n_units, 'm' || l.id_ine::VARCHAR AS municipality
+FROM located l JOIN validated v ON v.k = l.k JOIN coords c ON c.rc14 = l.rc14 JOIN warned w ON w.k = c.k
+LEFT JOIN snap_choice sc ON sc.rc = c.k
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) u ON u.l_orderkey = c.k
+WHERE l.reason IS NULL""", "located", "validated", "warned", "snap_choice"))
 def _(spark, sf):
+    from parity.calibration import snaps
     out = locate_keys(D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf))
+    keys = D.keyed(spark, sf).select("k", "rc14")
+    snap = C.choose_snap(snaps(spark, sf)).join(keys, F.col("rc") == F.col("k"))
+    units = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).join(keys, "k")
+    moves = spark.createDataFrame(
+        [], "rc14 string, sheet_name string, from_sheet string, from_score double, to_score double,"
+            " tried array<struct<sheet:string,score:double>>")
+    parcels = D.parcels(spark, sf).select("refcat", "area_m2", "label").filter(F.lit(False))
+    records = result_records(
+        out, D.calib(spark, sf), snap.select("rc14", "dx", "dy", "score"), moves, parcels,
+        units.select("rc14"))
     path = fresh_path(spark, "results")
-    S.write_results(out.filter(F.col("reason").isNull()).select(
-        "k", "rc14", "sheet_name", "rx", F.concat(F.lit("m"), txt(F.col("id_ine")))
-        .alias("municipality")), path)
-    return spark.read.schema("k long, rc14 string, sheet_name string, rx double, municipality string").parquet(path)
+    S.write_results(records, path)
+    read = spark.read.schema(records.schema).parquet(path)
+    return read.select(
+        "k", "rc", "address", "utm.x", "utm.y", "cell", "sub_quadrant", "sub_compass", "sheet_name",
+        "sheet_url", F.array_join("warnings", "|").alias("warnings"), "body_relative.rx",
+        "body_relative.ry", F.col("snap.dx").alias("snap_dx"), F.col("snap.dy").alias("snap_dy"),
+        F.col("snap.score").alias("snap_score"), "calibration_quality.reliability",
+        F.col("calibration_quality.expected_residual_m").alias("residual_m"), "n_units",
+        "municipality")
 
 
 @add("snk2_versioned_calibration", with_sql("SELECT level, key, dx, dy, n FROM calib", "calib"))

@@ -119,6 +119,41 @@ def test_two_gridded_municipalities_with_equal_names(spark):
     assert near == {"1": "PLANO_A_1.pdf", "2": "PLANO_B_2.pdf"}
 
 
+def test_full_record_of_a_moved_key(spark):
+    from lindero import schemas
+    from lindero.plans.location import locate_keys
+    from lindero.plans.records import result_records
+    coords = spark.createDataFrame([("0152067TP7005S", 270012.86, 4805037.449, "street")],
+                                   "rc14 string, x double, y double, address string")
+    sheets = spark.createDataFrame([("PLANO_16_K_I.pdf", "url")], "sheet_name string, url string")
+    requests = spark.createDataFrame([(1, "0152067TP7005S"), (2, "bad")], "job int, raw string")
+    located = locate_keys(requests, coords, sheets)
+    calibration = spark.createDataFrame(
+        [("quadrant", "15-L-II", 1.0, 2.0, 4, 3.0, 4.0, 5.0, True)], schemas.CALIBRATION)
+    snaps = spark.createDataFrame([("0152067TP7005S", 3, -4, 0.2)], "rc14 string, dx int, dy int, score double")
+    tried = [("PLANO_15_L_II.pdf", 0.6)]
+    moves = spark.createDataFrame(
+        [("0152067TP7005S", "PLANO_15_L_II.pdf", "PLANO_16_K_I.pdf", 0.2, 0.6, tried)],
+        "rc14 string, sheet_name string, from_sheet string, from_score double, to_score double,"
+        " tried array<struct<sheet:string,score:double>>")
+    parcels = spark.createDataFrame([("0152067TP7005S", 12.5, "P1")],
+                                    "refcat string, area_m2 double, label string")
+    units = spark.createDataFrame([("0152067TP7005S",)] * 3, "rc14 string")
+    got = result_records(located, calibration, snaps, moves, parcels, units).collect()
+    assert len(got) == 1
+    r = got[0].asDict(recursive=True)
+    assert len(r) == 20 and r.pop("job") == 1 and r.pop("raw") == r["rc"]
+    assert (r["cell"], r["sub_quadrant"], r["sheet_name"]) == ("15-L", "II", "PLANO_15_L_II.pdf")
+    assert r["edge_override"] == {"from_sheet": "PLANO_16_K_I.pdf", "from_score": 0.2,
+                                  "to_sheet": "PLANO_15_L_II.pdf", "to_score": 0.6}
+    assert r["edge_candidates_tried"] == [{"sheet": "PLANO_15_L_II.pdf", "score": 0.6}]
+    assert r["snap"] == {"dx": 3, "dy": -4, "score": 0.2}
+    assert r["calibration_quality"]["source"] == "quadrant" and r["calibration_quality"]["n_labels"] == 4
+    assert (r["polygon_area_m2"], r["polygon_label"], r["n_units"], r["municipality"]) == (
+        12.5, "P1", 3, "m33044")
+    assert r["utm"] == {"x": 270012.86, "y": 4805037.449} and r["body_relative"]["rx"] == 0.2006
+
+
 def test_rural_letters_come_from_the_entry(spark):
     from dataclasses import replace
     from lindero.registry import DEFAULT_REGISTRY
