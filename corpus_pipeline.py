@@ -10,7 +10,6 @@ from lindero.llm import bpe, langid, mixing, probminhash, quality
 from lindero.session import settle
 
 QUALITY_LIMIT = 0.3   # a document scored below is rejected
-LANGUAGE_LIMIT = 0.3  # so is one whose likeliest language is less likely than this, or unknown
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -28,13 +27,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language the network can tell."""
+    """Documents that have a language: `und`, a text without a letter, is rejected.
+
+    A document of several languages has a low score and is kept all the same.
+    """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     network = langid.learn(docs, remainder != 2)
     return (langid.identify(docs, network)
-            .filter((F.col("lang_pred") != langid.UNKNOWN)
-                    & (F.col("lang_score") >= LANGUAGE_LIMIT))
-            .select(*docs.columns))
+            .filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
