@@ -197,6 +197,7 @@ def pdf_stem(filename: Column) -> Column:
 
 def plan_scale(text: Column) -> Column:
     """Denominator of the plan scale; 1000 when none is stated or it is out of 200..50000."""
+    # Fixed value: how a plan states its scale.
     pattern = r"[Ee][Ss][Cc][Aa][Ll][Aa]\s*[:=]?\s*1\s*[:/]\s*(\d{3,5})"
     stated = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1).try_cast("int")
     return F.when(stated.between(200, 50000), stated).otherwise(F.lit(1000))

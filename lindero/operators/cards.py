@@ -41,6 +41,7 @@ KNOWN_LABELS = (
     "ESPACIOS LIBRES", "EQUIPAMIENTOS",
     "OTROS PARAMETROS NO VINCULANTES",
 )
+# Column heads of the land tables.
 TABLE_HEADERS = ("CODIGO", "CALIFICACION", "M2 DE SUELO", "M2 CONSTRUIBLE")
 
 # Field -> label whose value stands on its line or on one of the next two.
@@ -77,6 +78,7 @@ SYSTEM_FIELDS = {
     "sg_espacios_libres_m2": "ESPACIOS LIBRES",
     "sg_equipamientos_m2": "EQUIPAMIENTOS",
 }
+# Forms of a system's share and of a use right, table and section heads, dates, numbers.
 SYSTEM_VALUE = r"([\d\.,]+)\s*%\s*=\s*([\d\.,]+)\s*m2"
 USE_RIGHT = r"^APROVECHAMIENTO\s+MEDIO\s*:\s*([A-Z0-9 ]*?)\s*,\s*([\d\.,]+)\s*u\.a\.h\.?"
 TABLES = {
@@ -407,6 +409,7 @@ COLUMN_ANCHORS = (
 # Tolerances of the row and column searches, in points.
 ROW_Y, ROW_DX, BELOW_DY, BELOW_X = 4.0, 5.0, 80.0, 30.0
 NARROW_DX, WIDE_DX = 80.0, 120.0
+# Forms of a number, a small whole number and a ratio in a span.
 SPAN_NUMBER = r"^\s*-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*$|^\s*-?\d+(?:,\d+)?\s*$"
 SMALL_INT, RATIO = r"^\d{1,2}$", r"^\d{1,2},\d{2,3}$"
 
