@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lindero.llm.bpe import Memo
 from lindero.llm.common import small_batches
 from lindero.session import fresh_path
 
@@ -21,7 +21,7 @@ LONGEST = 18           # bits of a code
 BLOCK = 1 << 16        # ids after which a block is closed
 EVERY = 256            # ids between two checkpoints
 DECODED_AT_ONCE = 16   # blocks
-PIECES = 250_000       # pieces of text a worker remembers with their ids
+PIECES = 400_000       # pieces of text a worker remembers with their ids
 
 
 # --- tokens
@@ -30,41 +30,81 @@ class Tokens:
     """The tokenizers library over pieces of text that cannot share a token with their neighbours.
 
     A byte-level tokenizer matches a single space between two other characters together with what
-    follows, so such a space starts a piece. Pieces are encoded by the library in batches and
-    remembered; a text with other white space next to a space goes to the library as a whole.
+    follows, so such a space starts a piece. New pieces go to the library many at a time in one
+    text, whose ids are cut where a token starts with a space, and are remembered; a text with
+    other white space next to a space goes to the library as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces = Memo(lambda p: self._ids([" " + p])[0], PIECES)
+        self.library.model._resize_cache(0)        # new pieces only: nothing would be found in it
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        first = self.library.encode(" ", add_special_tokens=False).tokens[0]
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith(first)
+                                for i in range(size)])
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in found]
+
+    def _learn(self, missing: list[str | None]) -> set[str]:
+        """Remember the ids of pieces; returns those that stand next to other white space."""
+        if len(self.pieces) > PIECES:
+            self.pieces, self.older = {}, self.pieces
+        known, older = self.pieces, self.older
+        fresh, odd = [], set()
+        for piece in dict.fromkeys(missing):
+            ids = older.get(piece)
+            if ids is not None:
+                known[piece] = ids
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                odd.add(piece)
+            else:
+                fresh.append(piece)
+        if fresh:
+            raw = b"".join(self._ids([
+                " " + " ".join(fresh[i:i + 64]) for i in range(0, len(fresh), 64)]))
+            every = np.frombuffer(raw, self.kind)
+            cuts = np.append(np.flatnonzero(self.starts[every]), len(every))
+            if len(cuts) != len(fresh) + 1:
+                raise ValueError("the tokenizer does not start a token at each space")
+            edges = (cuts * self.kind.itemsize).tolist()
+            known.update(zip(fresh, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+        return odd
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
-        wanted = set().union(*(s[1:] for s in split))
-        known, old = self.pieces, self.pieces.old
-        fresh = [p for p in wanted if p not in known and p not in old]
-        odd = {p for p in fresh if not p or p[0].isspace() or p[-1].isspace()}
-        fresh = [p for p in fresh if p not in odd]
-        for piece, ids in zip(fresh, self._ids([" " + p for p in fresh])):
-            known[piece] = ids
-        whole = [i for i, s in enumerate(split)
-                 if len(s) > 1 and (not s[0] or s[0][-1].isspace()
-                                    or (odd and not odd.isdisjoint(s)))]
-        heads = [s[0] for s in split]
-        for i in whole:
-            heads[i], split[i] = texts[i], [""]
-        get = known.__getitem__
-        out = [head + b"".join(map(get, s[1:])) for head, s in zip(self._ids(heads), split)]
-        known.shrink()
+        out: list[bytes] = []
+        for at in range(0, len(texts), 32):  # few enough for their pieces to stay in the cache
+            out += self._encode(texts[at:at + 32])
         return out
 
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        get = self.pieces.get
+        found = [list(map(get, s)) for s in split]
+        # positions of new pieces: all() is the cheap test, as no piece has empty ids
+        late = [(i, [k for k, x in enumerate(ids) if x is None])
+                for i, ids in enumerate(found) if not all(ids)]
+        odd = self._learn([split[i][k] for i, holes in late for k in holes])
+        get = self.pieces.get
+        for i, holes in late:
+            ids, pieces = found[i], split[i]
+            for k in holes:
+                ids[k] = get(pieces[k])
+            if odd and None in ids:
+                heads[i], found[i] = texts[i], []
+        for i, s in enumerate(split):
+            if s and (not heads[i] or heads[i][-1].isspace()):
+                heads[i], found[i] = texts[i], []
+        return [head + b"".join(ids) for head, ids in zip(self._ids(heads), found)]
+
 
 @lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
@@ -109,8 +149,7 @@ class Book:
 
     lengths: np.ndarray
     codes: np.ndarray
-    table_ids: np.ndarray    # for each run of `width` bits: the id it starts with
-    table_bits: np.ndarray   # and that id's length
+    table: np.ndarray        # for each run of `width` bits: the id it starts with << 5 | its length
     width: int
 
 
@@ -122,11 +161,9 @@ def book(lengths: np.ndarray) -> Book:
     starts = np.cumsum(spans) - spans
     codes = np.zeros(len(lengths), dtype=np.uint32)
     codes[order] = starts >> (width - lengths[order].astype(np.int64))
-    ids = np.zeros(1 << width, dtype=np.uint32)
-    bits = np.ones(1 << width, dtype=np.uint8)
-    ids[:int(spans.sum())] = np.repeat(order, spans)
-    bits[:int(spans.sum())] = np.repeat(lengths[order], spans)
-    return Book(lengths, codes, ids, bits, width)
+    table = np.ones(1 << width, dtype=np.int64)
+    table[:int(spans.sum())] = np.repeat(order << 5 | lengths[order].astype(np.int64), spans)
+    return Book(lengths, codes, table, width)
 
 
 def pack_block(ids: np.ndarray, own: Book) -> tuple[bytes, bytes]:
@@ -166,7 +203,8 @@ def unpack_blocks(payloads: list[bytes], checkpoints: list[bytes], counts: list[
     # any 4 bytes from any byte on, as one big-endian number
     joined = (data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16
               | data[2:-1].astype(np.uint32) << 8 | data[3:])
-    shift, mask = 32 - own.width, np.uint32((1 << own.width) - 1)
+    joined = joined.astype(np.int64)
+    shift, mask = 32 - own.width, (1 << own.width) - 1
     turned = np.zeros((EVERY, len(position)), dtype=np.uint32)
     live = len(at)
     for k in range(EVERY):
@@ -175,9 +213,12 @@ def unpack_blocks(payloads: list[bytes], checkpoints: list[bytes], counts: list[
         if not live:
             break
         here = at[:live]
-        run = (joined[here >> 3] >> (shift - (here & 7)).astype(np.uint32)) & mask
-        turned[k, :live] = own.table_ids[run]
-        at[:live] = here + own.table_bits[run]
+        run = joined.take(here >> 3)
+        run >>= shift - (here & 7)
+        run &= mask
+        entry = own.table.take(run)
+        turned[k, :live] = entry >> 5
+        here += entry & 31
     out[lanes] = turned.T
     found, lane = [], 0
     for marks, n in zip(checkpoints, counts):
@@ -189,9 +230,13 @@ def unpack_blocks(payloads: list[bytes], checkpoints: list[bytes], counts: list[
 
 # --- jobs
 
+COUNTS = T.ArrayType(T.StructType([T.StructField("id", T.LongType()),
+                                   T.StructField("n", T.LongType())]))
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """Every document's ids in ascending doc_id order: part, row, start (ids of the part before),
-    doc_id, n, ids.
+    doc_id, n, ids; and counts, on one row of each part: how often each id occurs in it.
 
     The order is a range partitioning on (doc_id, text hash), so many rows with one doc_id spread
     over several parts; only rows equal in both meet in one.
@@ -203,36 +248,46 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()),
         T.StructField("start", T.LongType()), ordered.schema["doc_id"],
-        T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+        T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("counts", COUNTS)])
 
     def run(batches):
         own = tokens(path)
         end = np.array([END], dtype=own.kind).tobytes()
         row = start = 0
+        total = np.zeros(own.library.get_vocab_size(), dtype=np.int64)
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                yield closed(last, None)
             ids = [x + end for x in own.encode(batch.column("text").to_pylist())]
             n = np.array([len(x) // own.kind.itemsize for x in ids], dtype=np.int64)
-            yield pa.RecordBatch.from_pydict({
+            total += np.bincount(np.frombuffer(b"".join(ids), own.kind), minlength=len(total))
+            last = {
                 "part": batch.column("part"), "row": pa.array(row + np.arange(len(ids))),
                 "start": pa.array(start + np.cumsum(n) - n), "doc_id": batch.column("doc_id"),
-                "n": pa.array(n), "ids": pa.array(ids, pa.binary())}, schema=None)
+                "n": pa.array(n), "ids": pa.array(ids, pa.binary())}
             row, start = row + len(ids), start + int(n.sum())
+        if last is not None:
+            used = np.flatnonzero(total)
+            yield closed(last, [{"id": i, "n": k} for i, k in zip(used.tolist(),
+                                                                  total[used].tolist())])
+
+    def closed(columns, counts):
+        """The batch, with the part's counts on its last row."""
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+        rows = [None] * (len(columns["n"]) - 1) + [counts]
+        return pa.RecordBatch.from_pydict({**columns, "counts": pa.array(rows, kind)})
 
     return ordered.mapInArrow(run, schema)
 
 
-def id_counts(tokenized: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
+def id_counts(tokenized: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs; at most one row for each id of the vocabulary reaches the driver."""
-    def run(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            every = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
-            total += np.bincount(every, minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(total[used])})
-
-    rows = (tokenized.select("ids").mapInArrow(run, "id long, n long")
-            .groupBy("id").agg(F.sum("n").alias("n")).collect())
+    rows = (tokenized.filter(F.col("counts").isNotNull())
+            .select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(size, dtype=np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -254,7 +309,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     tokenized = spark.read.schema(tokenized.schema).parquet(staged_at)
     known = tokens(tokenizer_path)
     kind, size = known.kind, known.library.get_vocab_size()
-    lengths = code_lengths(id_counts(tokenized, kind, size))
+    lengths = code_lengths(id_counts(tokenized, size))
     used = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(
         1).write.parquet(f"{path}/book")
@@ -304,7 +359,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if held:
             yield batch_of([close()])
 
-    tokenized.mapInArrow(blocks, schema).write.option("compression", "none").parquet(
+    tokenized.drop("counts").mapInArrow(blocks, schema).write.option("compression", "none").parquet(
         f"{path}/blocks")
 
 
