@@ -194,3 +194,19 @@ def test_central_meridian_and_known_point(spark):
     # Quadrant length of the meridian at 43 degrees times the scale factor.
     assert abs(u[0].u.y - 0.9996 * 4762815.9) < 300
     assert 269000 < u[1].u.x < 270500 and 4804000 < u[1].u.y < 4806500
+
+
+def test_moved_records_over_the_given_tables(spark):
+    from parity import sources  # noqa: F401
+    from parity.base import ORACLE, QUERIES
+    from parity.check import compare, duck
+    sf = "/root/testdata/sf0.001"
+    query = QUERIES["snk1_moved_records"]
+    rows = query(spark, sf).collect()
+    moved = [r for r in rows if r.from_sheet is not None]
+    assert moved and all(r.sheet_name == r.to_sheet != r.from_sheet for r in moved)
+    assert all(r.sheet_name == f"PLANO_{r.cell.replace('-', '_')}_{r.sub_quadrant}.pdf" for r in rows)
+    assert any(r.n_tried and r.from_sheet is None for r in rows)
+    for field in ("polygon_area_m2", "polygon_label"):
+        assert {r[field] is None for r in rows} == {True, False}
+    assert compare(spark, duck(sf), sf, query, ORACLE["snk1_moved_records"])[0].startswith("ok")
