@@ -27,14 +27,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: `und`, a text without a letter, is rejected.
+    """Documents that have a language, one or several, by the network's windows.
 
-    A document of several languages has a low score and is kept all the same.
+    Rejected are texts without a letter and those with too small a share of their letters in windows
+    of one sure language; `Network.recognised` has the rule. A document of several languages has sure
+    windows and is kept.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     network = langid.learn(docs, remainder != 2)
-    return (langid.identify(docs, network)
-            .filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns))
+    return langid.keep_recognised(docs, network)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,11 +20,16 @@ SIZE = 8               # of a byte's vector
 SAMPLE = 6000          # documents the network learns from, at most
 CROPS = 3              # stretches taken from each of them
 CHUNK = 128            # windows worked on at once
+SURE = 0.9             # probability from which a window has one language
+SHARE = 0.25           # of a text's letters in such windows, from which it has languages
+LEAST = 4 * LENGTH     # letter bytes below which a share says too little
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 # ASCII letters count as small ones.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+# Bytes of letters: ASCII ones (folded) and all parts of longer characters.
+LETTERS = (np.arange(256) >= 128) | ((np.arange(256) >= 97) & (np.arange(256) <= 122))
 
 
 @dataclass
@@ -73,6 +78,25 @@ class Network:
             found[i] = (self.names[b], float(min(1.0, max(0.0, p))))
         return found
 
+    def recognised(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text has any language, one or several.
+
+        It has none without a letter, or when less than SHARE of its letter bytes lie in windows whose
+        best name has a probability of SURE. With fewer than LEAST letter bytes, or when nothing was
+        learned, there is nothing to judge by and a text with a letter passes.
+        """
+        found = [bool(t and LETTER.search(t)) for t in texts]
+        known = [i for i, f in enumerate(found) if f] if self.names else []
+        if not known:
+            return found
+        windows, first, _ = cut([texts[i] for i in known])
+        letters = LETTERS[windows].sum(axis=1)
+        sure = letters * (self.probabilities(windows).max(axis=1) >= SURE)
+        total, part = np.add.reduceat(letters, first), np.add.reduceat(sure, first)
+        for i, all_of, sure_of in zip(known, total, part):
+            found[i] = bool(all_of < LEAST or sure_of >= SHARE * all_of)
+        return found
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=1, keepdims=True))
@@ -195,3 +219,15 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 "lang_score": pa.array([x[1] for x in found], pa.float64())})
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_recognised(docs: DataFrame, network: Network) -> DataFrame:
+    """Rows whose text has any language by `Network.recognised`. Narrow: no shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            kept = network.recognised(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -147,3 +147,21 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
         str(tmp_path / "labels.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in found} <= {3} and len(found) <= 3
+
+
+def test_language_stage_rejects_letters_without_a_language(spark):
+    pick = random.Random(3)
+    given = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    some = {r["lang"]: r["text"] for r in given.filter("length(text) > 2000").collect()}
+    texts = ["".join(pick.choices("0123456789abcdef", k=1500)) for _ in range(20)]
+    texts += ["".join(t[:700] for t in some.values()), some["en"][:900] + some["de"][:900], "Re.",
+              "Total 12 34 " + "5 6 7 8 " * 100, "12 34", None]
+    rows = [(-1 - i, t, None, "s", 1) for i, t in enumerate(texts)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = given.select(*odd.columns).union(odd)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, both, SF)
+            .filter("doc_id < 0").collect()}
+    assert kept == {-21, -22, -23, -24}
+    # Nothing to learn from: texts with a letter stay.
+    alone = corpus_pipeline.keep_known_language(spark, odd, SF).collect()
+    assert {r["doc_id"] for r in alone} == set(range(-24, 0))
