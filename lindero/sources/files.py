@@ -39,10 +39,11 @@ def heads(spark: SparkSession, path: str) -> DataFrame:
 
 def integrity(expected: DataFrame, files: DataFrame) -> DataFrame:
     """(name, status) of expected(name, kind) against files(name, bytes, head): ok, missing,
-    bad_header or too_small."""
+    unread (no head, so nothing is known of its content), bad_header or too_small."""
     one = first_per_key(files.select("name", "bytes", "head"), ["name"], [F.col("bytes")])
     joined = expected.join(one, "name", "left")
-    status = F.when(F.col("bytes").isNull(), F.lit("missing"))
+    status = F.when(F.col("bytes").isNull(), F.lit("missing")).when(
+        F.col("kind").isin(*MAGIC) & F.col("head").isNull(), F.lit("unread"))
     for kind, (magic, _) in MAGIC.items():
         wrong = F.substring("head", 1, len(magic)) != F.lit(magic)
         status = status.when((F.col("kind") == kind) & wrong, F.lit("bad_header"))

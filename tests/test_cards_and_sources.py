@@ -241,3 +241,12 @@ def test_parts_and_latency(spark):
     df = spark.createDataFrame([(v,) for v in ms], "ms double")
     r = W.latency_profile(df).first()
     assert (r.n, r.median, r.p95, r.max) == (10, 13.5, 300.0, 300.0) and r.hit_share == 0.7
+
+
+def test_a_file_without_a_head_is_never_ok(spark):
+    from lindero.sources import files as FI
+    expected = spark.createDataFrame([("a", "pdf"), ("b", "pdf"), ("c", "png")], "name string, kind string")
+    files = spark.createDataFrame([("a", 1 << 31, None), ("b", 20000, bytearray(b"%PDF-1.4"))],
+                                  "name string, bytes long, head binary")
+    got = {r["name"]: r["status"] for r in FI.integrity(expected, files).collect()}
+    assert got == {"a": "unread", "b": "ok", "c": "missing"}
