@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from lindero.llm import (
     bpe, chat, forest, huffman, langid, mixing, probminhash, quality, sharding, subspace,
+    token_counts,
 )
 from lindero.llm.common import table
 
 QUALITY_LIMIT = 0.3
+TOKEN_LIMIT = 512
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,6 +139,15 @@ def op1_subspace(spark, sf):
     return subspace.near_vectors(table(spark, sf, "embeddings"))
 
 
+@query
+def op11_token_counts(spark, sf):
+    """Bytes and tokens of every document, and whether it exceeds 512 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return counted.select("doc_id", "n_bytes", "n_tokens",
+                          (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 @query
 def op2_chat(spark, sf):
     """Every conversation, formatted and read back, and one that holds control strings."""
