@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lindero.llm import (
-    bpe, chat, forest, huffman, langid, mixing, probminhash, quality, sharding, subspace,
-    token_counts,
+    bpe, chat, forest, huffman, langid, mixing, probminhash, quality, sharding, spelling,
+    subspace, token_counts,
 )
 from lindero.llm.common import table
 
@@ -148,6 +148,55 @@ def op11_token_counts(spark, sf):
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query
+def op13_spelling(spark, sf):
+    """Every word with its near words, its form and the root its forms lead to."""
+    return spelling.variants(table(spark, sf, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+# crc32 byte by byte over a table of 256 entries; near pairs by equal rests after one deletion.
+ORACLE["op13_spelling"] = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+  FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, lower_run AS run, count(*) AS n FROM (
+           SELECT doc_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[a-z\x{C0}-\x{FF}]+')) AS lower_run FROM documents)
+         WHERE length(lower_run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+             regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)), '..'),
+             lambda x: ('0x' || x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+           FROM runs, crc),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::BIGINT)
+                       || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+         FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 5
+      GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, p, substring(word, 1, p - 1) || substring(word, p + 1) AS rest
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pairs AS (SELECT a.word AS word, b.word AS near, b.n AS near_n
+          FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+          UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n,
+                first(near ORDER BY near_n DESC, encode(near)) AS form FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN form_n >= 2 * v.n THEN form END AS form,
+             CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM f
+          UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+
 @query
 def op2_chat(spark, sf):
     """Every conversation, formatted and read back, and one that holds control strings."""
