@@ -212,7 +212,9 @@ def count_huge(texts: DataFrame, path: str, length: int, overlap: int) -> DataFr
     done = None
     while True:
         chunks = cut(texts, length, overlap).repartition("digest", "part")
-        found = settle(splice(encode_chunks(chunks, path, length, overlap)), "spliced")
+        # three parts of the splice read the encoded chunks: a few hundred numbers each
+        encoded = settle(encode_chunks(chunks, path, length, overlap), "chunks")
+        found = settle(splice(encoded), "spliced")
         good = found.filter("apart = 0").select("digest", "n_tokens")
         done = good if done is None else done.unionByName(good)
         apart = found.filter("apart > 0").select("digest")
