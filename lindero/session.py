@@ -65,6 +65,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that no result reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Cut lineage reliably: the rows are written to the shared folder and read back.
 
