@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lindero.llm import (
-    bpe, chat, forest, huffman, langid, mixing, probminhash, quality, sharding, spelling,
-    subspace, token_counts,
+    bpe, chat, collocations, forest, huffman, langid, mixing, probminhash, quality,
+    sharding, spelling, subspace, token_counts,
 )
 from lindero.llm.common import table
 
@@ -197,6 +197,44 @@ FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL
 """
 
 
+@query
+def op12_collocations(spark, sf):
+    """The first 2000 collocations of each language."""
+    found = collocations.collocations(table(spark, sf, "documents"))
+    longs = [F.col(c).cast("bigint").alias(c) for c in ("rank", "a", "l", "r", "n", "score")]
+    return found.select("lang", "phrase", *longs)
+
+
+ORACLE["op12_collocations"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(
+             text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+                             lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut
+      FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, n.n,
+             (1000 * c.a * n.n) // (l.a * r.a) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.cut], ' ')
+             JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.cut + 1:], ' ')
+             JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT b.* FROM b WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = b.lang AND f.k > b.k AND 100 * f.a >= 100 * b.a
+          AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang
+                                   ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM x)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM o WHERE rank <= 2000
+"""
+
+
 @query
 def op2_chat(spark, sf):
     """Every conversation, formatted and read back, and one that holds control strings."""
