@@ -22,8 +22,15 @@ def locate_keys(requests: DataFrame, coords: DataFrame, sheets: DataFrame,
                 raw: str = "raw") -> DataFrame:
     """One row per request. `reason` is null for located keys, else one of bad_format, not_found,
     out_of_extent, no_grid, row_out_of_range, no_sheet (the first that applies)."""
-    rows = L.validate_keys(requests, raw)
-    rows = L.attach_coords(rows, coords)
+    rows = L.attach_coords(L.validate_keys(requests, raw), coords)
+    placed = place_rows(rows, sheets, registry)
+    extra = [c for c in requests.columns if c not in LOCATED]
+    return placed.select(*extra, *LOCATED, "_m")
+
+
+def place_rows(rows: DataFrame, sheets: DataFrame,
+               registry: Sequence[Municipality] = DEFAULT_REGISTRY) -> DataFrame:
+    """Municipality, cell, quadrant, sheet and `reason` of rows that have rc14, error, x and y."""
     routed = L.route(rows, registry)
     # A point outside every extent is judged against the default (first) municipality.
     routed = routed.withColumn("id_ine", F.coalesce("id_ine", F.lit(registry[0].id_ine)))
@@ -38,9 +45,7 @@ def locate_keys(requests: DataFrame, coords: DataFrame, sheets: DataFrame,
         .when(~F.col("row").between(0, 24), F.lit("row_out_of_range"))
         .when(F.col("sheet_url").isNull(), F.lit("no_sheet"))
     )
-    placed = placed.withColumn("reason", reason)
-    extra = [c for c in requests.columns if c not in LOCATED]
-    return placed.select(*extra, *LOCATED, "_m")
+    return placed.withColumn("reason", reason)
 
 
 def locate_with_quality(requests: DataFrame, coords: DataFrame, sheets: DataFrame,

@@ -61,8 +61,9 @@ def named_zones(spark, sf):
     ).select(s.alias("ord"), ambito.alias("ambito"), etiqueta.alias("etiqueta"))
 
 
-# Brute force over all (zone name, card) pairs.
-D.define("link_pairs", r"""
+def link_pairs_sql(names: str) -> str:
+    """Brute force over all (zone name, card) pairs."""
+    return r"""
 SELECT ambito, etiqueta, filename, ord, words, codes, nums, norm,
   list_sum(list_transform(words, lambda t: (contains(norm, t))::INT)) AS n_word,
   coalesce(list_sum(list_transform(nums, lambda t: (contains(norm, ' ' || t || ' '))::INT)), 0) AS n_num,
@@ -71,17 +72,25 @@ FROM (SELECT *, list_filter(raw, lambda t: length(t) > 2) AS words, list_filter(
         list_filter(list_transform(range(1, len(raw)), lambda i: CASE WHEN length(raw[i]) <= 4
           AND (regexp_full_match(raw[i + 1], '\d+') OR length(raw[i + 1]) <= 4) THEN raw[i] || ' ' || raw[i + 1] END), lambda t: t IS NOT NULL) AS codes
       FROM (SELECT DISTINCT ambito, etiqueta, list_filter(string_split_regex(translate(upper(ambito || ' ' || coalesce(etiqueta, '')), '-_Ñ', '  N'), '\s+'),
-              lambda t: t <> '') AS raw FROM named_zones)),
+              lambda t: t <> '') AS raw FROM """ + names + r""")),
      (SELECT filename, ord, ' ' || translate(upper(replace(filename, '.pdf', '')), '-_', '  ') || ' ' AS norm FROM cards)
-""", "named_zones", "cards")
-D.define("links", """
+"""
+
+
+def links_sql(pairs: str) -> str:
+    """The five best cards of each name."""
+    return """
 SELECT ambito, etiqueta, filename, score, tokens_matched, num_matched,
    row_number() OVER (PARTITION BY ambito, etiqueta ORDER BY score DESC, ord)::INT AS rank
 FROM (SELECT ambito, etiqueta, filename, ord, CASE WHEN len(words) = 0 THEN 10 * n_code ELSE n_word + 5 * n_num END::BIGINT AS score,
         CASE WHEN len(words) = 0 THEN n_code ELSE n_word END::BIGINT AS tokens_matched,
         CASE WHEN len(words) = 0 THEN 0 ELSE n_num END::BIGINT AS num_matched
-      FROM link_pairs WHERE (len(words) = 0 AND n_code > 0) OR (len(words) > 0 AND n_word >= greatest(1, len(words) // 2)))
-QUALIFY row_number() OVER (PARTITION BY ambito, etiqueta ORDER BY score DESC, ord) <= 5""", "link_pairs")
+      FROM """ + pairs + """ WHERE (len(words) = 0 AND n_code > 0) OR (len(words) > 0 AND n_word >= greatest(1, len(words) // 2)))
+QUALIFY row_number() OVER (PARTITION BY ambito, etiqueta ORDER BY score DESC, ord) <= 5"""
+
+
+D.define("link_pairs", link_pairs_sql("named_zones"), "named_zones", "cards")
+D.define("links", links_sql("link_pairs"), "link_pairs")
 
 
 @add("jn17_zone_to_cards", with_sql("SELECT * FROM links", "links"))

@@ -22,7 +22,7 @@ from parity.base import add, table
 from parity.calibration import matches
 from parity.derived import with_sql
 from parity.geometry import features, heritage
-from parity.linkage import cards
+from parity.linkage import cards, link_pairs_sql, links_sql
 from parity.location import rural_sheets
 
 
@@ -568,53 +568,149 @@ def _(spark, sf):
 D.define("full_names", """
 SELECT DISTINCT ambito, etiqueta FROM (SELECT k, ambito, etiqueta FROM zone_names WHERE has_card_zone)
 """, "zone_names")
-_jn12 = __import__("parity.base", fromlist=["ORACLE"]).ORACLE["jn12_zone_name"]
-# The name resolution of jn12, as a derived table.
-D.define("zone_names", "WITH f1 AS" + _jn12.split(", f1 AS", 1)[1], "found")
-D.define("full_pairs", D.SQL["link_pairs"][0].replace("named_zones", "full_names"), "full_names", "cards")
-D.define("full_links", D.SQL["links"][0].replace("link_pairs", "full_pairs"), "full_pairs")
+# The first feature of each layer, and the name, label and figures they give.
+D.define("zone_names", """
+SELECT k, coalesce(n15.area_name, nullif(n15.label, ''), n25.area_name, nullif(n25.label, ''),
+   n22.instrument, n22.official, n22.ordinance, nullif(n22.label, ''),
+   n06.instrument, n06.official, n06.ordinance, nullif(n06.label, ''),
+   n12.instrument, n12.official, n12.ordinance, nullif(n12.label, '')) AS ambito,
+   coalesce(nullif(n15.label, ''), nullif(n25.label, ''), nullif(n22.label, '')) AS etiqueta,
+   n15 IS NOT NULL OR n25 IS NOT NULL OR n22 IS NOT NULL AS has_card_zone,
+   coalesce(n15.use1, n12.use2) AS uso_predominante, n15.ratio::DOUBLE AS edificabilidad,
+   CASE WHEN n15 IS NOT NULL THEN (n15.ord * 3 % 70 / 2.0)::DOUBLE END AS densidad_viv_ha,
+   CASE WHEN n15 IS NOT NULL THEN 'SISTEMA ' || (n15.ord % 4)::VARCHAR END AS sistema_actuacion
+FROM (SELECT k, any_value(f) FILTER (layer_ord = 0) AS n15, any_value(f) FILTER (layer_ord = 1) AS n25,
+        any_value(f) FILTER (layer_ord = 2) AS n22, any_value(f) FILTER (layer_ord = 3) AS n12,
+        any_value(f) FILTER (layer_ord = 4) AS n06
+      FROM (SELECT k, layer_ord, arg_min(f, f.ord) AS f FROM found f GROUP BY k, layer_ord) GROUP BY k)""", "found")
+D.define("full_pairs", link_pairs_sql("full_names"), "full_names", "cards")
+D.define("full_links", links_sql("full_pairs"), "full_pairs")
+D.define("rural_bodies", """
+SELECT k, rc14, nullif(concat_ws(' · ', CASE WHEN k % 2 = 0 THEN 'PARAJE ' || (k % 9)::VARCHAR END,
+    CASE WHEN k % 5 <> 0 THEN 'Pol ' || (k % 40)::VARCHAR || ' Parc ' || CASE WHEN k % 7 = 0 THEN '' ELSE (k % 70)::VARCHAR END END,
+    CASE WHEN k % 3 <> 0 THEN 'VILLA' END), '') AS address FROM keyed WHERE k % 11 <> 0""", "keyed")
+
+
+def rural_bodies(spark, sf):
+    """Landed registry responses of single rural properties."""
+    k = F.col("k")
+    land = F.struct(
+        F.when(k % 2 == 0, F.concat(F.lit(" PARAJE "), txt(k % 9))).alias("npa"),
+        F.struct(F.when(k % 5 != 0, txt(k % 40)).alias("cpo"),
+                 F.when((k % 5 != 0) & (k % 7 != 0), txt(k % 70)).alias("cpa")).alias("cpp"))
+    dt = F.struct(F.struct(F.struct(land.alias("lorus")).alias("lors")).alias("locs"),
+                  F.when(k % 3 != 0, " VILLA ").alias("nm"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.struct(dt.alias("dt")).alias("bi")).alias("bico"))
+                              .alias("consulta_dnprcResult")))
+    return D.keyed(spark, sf).filter(k % 11 != 0).select("k", "rc14", body.alias("body"))
+
+
+@add("prj16_rural_responses", with_sql(
+    "SELECT rc14, address FROM rural_bodies", "rural_bodies"))
+def _(spark, sf):
+    return R.parse_rural_addresses(rural_bodies(spark, sf))
 
 
 @add("jn24_full_enrichment", with_sql("""
-SELECT r.k, CASE WHEN NOT r.ok THEN 'bad_key' WHEN c.k IS NULL THEN 'not_found' END AS status, c.address,
-  CASE WHEN l.reason IS NULL THEN l.sheet_name END AS sheet_name, CASE WHEN c.k IS NULL THEN NULL WHEN l.reason IS NULL THEN q.reliability END AS reliability,
-  CASE WHEN c.k IS NOT NULL THEN coalesce(u.n, 0) END AS n_units, z.ambito, z.uso_predominante, f.filename AS top_card,
-  CASE WHEN c.k IS NOT NULL AND l.reason IS NOT NULL AND rr.ok THEN rs.snu END AS snu_sheet, h.n AS n_heritage,
+SELECT r.k, CASE WHEN NOT r.ok THEN 'bad_key' WHEN c.k IS NULL THEN 'not_found' END AS status,
+  CASE WHEN c.k % 4 = 0 THEN ra.address ELSE c.address END AS address,
+  CASE WHEN l.reason IS NULL THEN l.sheet_name END AS sheet_name, CASE WHEN l.reason IS NULL THEN q.cell END AS cell, CASE WHEN l.reason IS NULL THEN q.sub END AS sub,
+  CASE WHEN c.k IS NULL THEN NULL WHEN l.reason IS NULL THEN q.reliability WHEN kp.refcat IS NOT NULL THEN 'rural' END AS reliability,
+  CASE WHEN l.reason IS NULL THEN round_even(q.odx, 0)::INT END AS cal_dx, CASE WHEN l.reason IS NULL THEN round_even(q.ody, 0)::INT END AS cal_dy,
+  CASE WHEN l.reason IS NULL THEN q.source END AS source, CASE WHEN l.reason IS NULL THEN q.residual_m END AS residual_m,
+  CASE WHEN c.k IS NOT NULL AND l.reason IS NULL THEN concat_ws('|', l.warning, q.qwarning) END AS warnings,
+  CASE WHEN l.reason IS NULL THEN sc.dx END AS snap_dx, CASE WHEN l.reason IS NULL THEN sc.dy END AS snap_dy, CASE WHEN l.reason IS NULL THEN sc.score END AS snap_score,
+  kp.area_m2 AS polygon_area_m2, kp.label AS polygon_label, CASE WHEN c.k IS NOT NULL THEN coalesce(u.n, 0) END AS n_units,
+  z.ambito, z.uso_predominante, z.edificabilidad, z.densidad_viv_ha, z.sistema_actuacion, f.fichas, f.top_card, f.superficie,
+  CASE WHEN c.k IS NOT NULL AND l.reason IS NOT NULL AND rr.ok THEN rs.snu END AS snu_sheet, CASE WHEN c.k IS NOT NULL THEN coalesce(h.near, '') END AS patrimonio,
   CASE WHEN c.k IS NOT NULL AND l.reason NOT IN ('bad_format', 'no_sheet') THEN 'sin SU: ' || l.reason WHEN c.k IS NOT NULL THEN '' END AS notes
 FROM (SELECT *, coalesce(regexp_matches(upper(trim(raw)), '^([0-9A-Z]{14}|[0-9A-Z]{20})$'), false) AS ok FROM requests) r
 LEFT JOIN coords c ON r.ok AND c.rc14 = substr(upper(trim(r.raw)), 1, 14)
-LEFT JOIN (SELECT * FROM (SELECT k, sheet_name, CASE WHEN id_ine IS NULL THEN 'out_of_extent' WHEN id_ine <> 33044 THEN 'no_grid'
+LEFT JOIN (SELECT * FROM (SELECT k, sheet_name, warning, CASE WHEN id_ine IS NULL THEN 'out_of_extent' WHEN id_ine <> 33044 THEN 'no_grid'
      WHEN letter IS NULL THEN 'row_out_of_range' WHEN url IS NULL THEN 'no_sheet' END AS reason
    FROM (SELECT b.*, s.url, CASE WHEN x BETWEEN 253000 AND 278000 AND y BETWEEN 4798000 AND 4815000 THEN 33044
      WHEN x BETWEEN 270921 AND 292773 AND y BETWEEN 4813038 AND 4829451 THEN 33024 END AS id_ine
      FROM bordered b LEFT JOIN sheets s ON s.sheet_name = b.sheet_name))) l ON l.k = c.k
 LEFT JOIN warned q ON q.k = c.k
+LEFT JOIN rural_bodies ra ON ra.rc14 = c.rc14
+LEFT JOIN snap_choice sc ON sc.rc = c.k
+LEFT JOIN key_parcels kp ON kp.refcat = c.rc14
 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) u ON u.l_orderkey = c.k
-LEFT JOIN (SELECT * FROM zone_names) z ON z.k = c.k
-LEFT JOIN full_links f ON z.has_card_zone AND f.rank = 1 AND f.ambito = z.ambito AND f.etiqueta IS NOT DISTINCT FROM z.etiqueta
+LEFT JOIN zone_names z ON z.k = c.k
+LEFT JOIN (SELECT g.*, CASE WHEN d.ord % 3 <> 0 THEN (d.ord * 1.5)::DOUBLE END AS superficie
+   FROM (SELECT ambito, etiqueta, string_agg(filename || ' ' || score::VARCHAR || ' ' || tokens_matched::VARCHAR || ' ' || num_matched::VARCHAR, '|' ORDER BY rank) AS fichas,
+           arg_min(filename, rank) AS top_card FROM full_links GROUP BY ALL) g JOIN cards d ON d.filename = g.top_card) f
+ ON z.has_card_zone AND f.ambito = z.ambito AND f.etiqueta IS NOT DISTINCT FROM z.etiqueta
 LEFT JOIN rural rr ON rr.k = c.k
 LEFT JOIN (SELECT a.c AS ac, a.r AS ar, arg_min(s.sheet_name, row(greatest(abs(s.c - a.c), abs(s.r - a.r)), (s.c - a.c) ** 2 + (s.r - a.r) ** 2,
           substr('ABCDEFGHIJ', s.r + 1, 1), s.c)) AS snu FROM (SELECT DISTINCT c, r FROM rural WHERE ok) a, rural_sheets s GROUP BY ALL) rs ON rs.ac = rr.c AND rs.ar = rr.r
-LEFT JOIN (SELECT k, count(*) AS n FROM near_heritage GROUP BY k) h ON h.k = c.k""",
-    "requests", "coords", "bordered", "sheets", "warned", "zone_names", "full_links", "rural", "rural_sheets", "near_heritage"))
+LEFT JOIN (SELECT k, string_agg(tipo || '/' || ord::VARCHAR || '/' || nombre || '/' || etiqueta, '|' ORDER BY tipo, ord) AS near FROM near_heritage GROUP BY k) h ON h.k = c.k""",
+    "requests", "coords", "bordered", "sheets", "warned", "rural_bodies", "snap_choice", "key_parcels", "zone_names", "full_links", "rural", "rural_sheets", "near_heritage"))
 def _(spark, sf):
-    units = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).join(
-        D.keyed(spark, sf).select("k", "rc14"), "k")
+    from parity.calibration import snaps
+    keys = D.keyed(spark, sf).select("k", "rc14")
+    units = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).join(keys, "k")
     c = cards(spark, sf)
-    records = c.select(F.regexp_replace("filename", r"\.pdf$", "").alias("key"),
-                       (F.col("ord") * 1.5).alias("superficie"))
-    empty = D.keyed(spark, sf).filter(F.lit(False)).select("rc14", F.lit("").alias("address"))
+    records = c.filter(F.col("ord") % 3 != 0).select(
+        F.regexp_replace("filename", r"\.pdf$", "").alias("key"),
+        (F.col("ord") * 1.5).alias("superficie"))
+    # Every fourth key has no address of its own.
+    coords = D.coords(spark, sf).withColumn(
+        "address", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("address")))
+    figures = features(spark, sf).withColumn("props", F.map_concat("props", F.create_map(
+        F.lit(Z.DENSITY), txt(F.col("ord") * 3 % 70 / F.lit(2.0)),
+        F.lit(Z.ACTION_SYSTEM), F.concat(F.lit("SISTEMA "), txt(F.col("ord") % 4)))))
+    snap = C.choose_snap(snaps(spark, sf)).join(keys, F.col("rc") == F.col("k"))
     full = E.enrich_keys(
-        D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf), rural_sheets(spark, sf),
-        features(spark, sf), heritage(spark, sf), c, records, D.calib(spark, sf),
-        D.parcels(spark, sf).select("refcat", "area_m2"), units, empty)
+        D.requests(spark, sf), coords, D.sheets(spark, sf), rural_sheets(spark, sf), figures,
+        heritage(spark, sf), c, records, D.calib(spark, sf), key_parcels(spark, sf), units,
+        R.parse_rural_addresses(rural_bodies(spark, sf)), snap.select("rc14", "dx", "dy", "score"))
+
+    def joined(of, *fields):
+        return F.array_join(F.transform(of, lambda e: F.concat_ws(
+            "/" if of == "patrimonio" else " ", *[txt(e[x]) for x in fields])), "|").alias(of)
     return full.select(
-        "k", "status", "address", "sheet_name", "reliability", "n_units", "ambito",
-        "uso_predominante", "top_card", "snu_sheet",
-        F.when(F.col("patrimonio").isNotNull(), F.size("patrimonio").cast("long")).alias("n_heritage"),
+        "k", "status", "address", "sheet_name", "cell", "sub", "reliability", "cal_dx", "cal_dy",
+        "source", "residual_m", F.array_join("warnings", "|").alias("warnings"),
+        F.col("snap.dx").alias("snap_dx"), F.col("snap.dy").alias("snap_dy"),
+        F.col("snap.score").alias("snap_score"), "polygon_area_m2", "polygon_label", "n_units",
+        "ambito", "uso_predominante", "edificabilidad", "densidad_viv_ha", "sistema_actuacion",
+        joined("fichas_match", "filename", "score", "tokens_matched", "num_matched").alias("fichas"),
+        "top_card", "superficie", "snu_sheet",
+        joined("patrimonio", "tipo", "ord", "nombre", "etiqueta"),
         F.array_join("notes", "|").alias("notes"))
 
 
+# Zones whose names need a file-safe form, card pages of two thirds of them, records of half.
+D.define("lookup_zones", """
+SELECT *, id || ' (' || nat::VARCHAR || ')' AS name2 FROM zones""", "zones")
+
+
+@add("zone_lookup", with_sql("""
+SELECT p.k, p.x BETWEEN 253000 AND 278000 AND p.y BETWEEN 4798000 AND 4815000 AS inside, m.name2 AS zone,
+  CASE WHEN m.tier = 0 THEN 'AUA' WHEN m.tier = 1 THEN 'C' END AS categoria, 'https://cards.example/' || m.id AS ficha_url,
+  CASE WHEN m.zk % 3 <> 0 THEN 'Zona ' || m.zk::VARCHAR END AS nombre_largo, CASE WHEN m.zk % 2 = 0 THEN (m.zk * 2.5)::DOUBLE END AS superficie,
+  CASE WHEN m.id IS NOT NULL THEN coalesce(o.others, '') END AS overlapping,
+  CASE WHEN m.id IS NULL AND p.x BETWEEN 253000 AND 278000 AND p.y BETWEEN 4798000 AND 4815000 THEN 'inside the extent but in no zone' END AS note
+FROM points p
+LEFT JOIN (SELECT r.k, z.* FROM ranked r JOIN lookup_zones z USING (id) WHERE rank = 1) m
+  ON m.k = p.k AND p.x BETWEEN 253000 AND 278000 AND p.y BETWEEN 4798000 AND 4815000
+LEFT JOIN (SELECT r.k, string_agg(z.name2, '|' ORDER BY rank) AS others FROM ranked r JOIN lookup_zones z USING (id) WHERE rank > 1 GROUP BY r.k) o ON o.k = m.k""",
+    "points", "ranked", "lookup_zones"))
+def _(spark, sf):
+    name = F.concat("id", F.lit(" ("), txt(F.col("nat")), F.lit(")"))
+    zones = D.zones(spark, sf).withColumn("id", name)
+    zk = F.col("zk")
+    pages = zones.filter(zk % 3 != 0).select(
+        F.col("id").alias("zone"), "categoria", F.concat(F.lit("Zona "), txt(zk)).alias("nombre_largo"))
+    records = zones.filter(zk % 2 == 0).select(
+        T.safe_name(F.col("id")).alias("key"), (zk * 2.5).alias("superficie"))
+    found = E.zone_lookup(D.points(spark, sf).select("k", "x", "y"), zones, pages, records, D.HOME, "k")
+    return found.select(
+        "k", "inside", F.col("id").alias("zone"), "categoria", "ficha_url", "nombre_largo",
+        "superficie", F.array_join("overlapping", "|").alias("overlapping"), "note")
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
