@@ -332,33 +332,43 @@ def choose_snap(candidates: DataFrame) -> DataFrame:
 def edge_override(primary: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Moves a key to a neighbour sheet when its own snap is weak.
 
-    primary(rc, sheet_name, snap_score); neighbours(rc, ord, n_sheet, n_score), at most four per key
-    (`edge_neighbours`). Walked in order: each neighbour replaces the current choice when it scores
-    clearly better, so the outcome may differ from the plain maximum.
+    primary(rc, sheet_name, snap_score, dx, dy); neighbours(rc, ord, n_sheet, n_score, n_dx, n_dy), at
+    most four per key (`edge_neighbours`). Walked in order: each neighbour replaces the current
+    choice when it scores clearly better, so the outcome may differ from the plain maximum. The shift
+    is that of the sheet in force; shifts may be left out on either side and are null then.
     """
-    tried = neighbours.groupBy("rc").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "n_sheet", "n_score"))).alias("_t"))
-    joined = primary.join(tried, "rc", "left")
+    def shift(rows: DataFrame, name: str) -> Column:
+        return (F.col(name) if name in rows.columns else F.lit(None)).cast("int")
+
+    tried = neighbours.groupBy("rc").agg(F.sort_array(F.collect_list(F.struct(
+        "ord", "n_sheet", "n_score", shift(neighbours, "n_dx").alias("n_dx"),
+        shift(neighbours, "n_dy").alias("n_dy")))).alias("_t"))
+    joined = primary.withColumns({n: shift(primary, n) for n in ("dx", "dy")}).join(
+        tried, "rc", "left")
+    none = F.filter("_t", lambda t: F.lit(False))
     weak = F.col("snap_score") < EDGE_WEAK
-    steps = F.when(weak, F.coalesce(F.col("_t"), F.expr(
-        "cast(array() as array<struct<ord:int,n_sheet:string,n_score:double>>)"
-    ))).otherwise(F.expr("cast(array() as array<struct<ord:int,n_sheet:string,n_score:double>>)"))
     empty = F.lit(None)
     start = F.struct(
-        F.col("sheet_name").alias("sheet"), F.col("snap_score").alias("score"),
+        F.col("sheet_name").alias("sheet"), F.col("snap_score").alias("score"), "dx", "dy",
         empty.cast("string").alias("from_sheet"), empty.cast("double").alias("from_score"))
 
     def step(cur: Column, t: Column) -> Column:
         better = t["n_score"] > cur["score"] + EDGE_GAIN
         moved = F.struct(
-            t["n_sheet"].alias("sheet"), t["n_score"].alias("score"),
-            cur["sheet"].alias("from_sheet"), cur["score"].alias("from_score"))
+            t["n_sheet"].alias("sheet"), t["n_score"].alias("score"), t["n_dx"].alias("dx"),
+            t["n_dy"].alias("dy"), cur["sheet"].alias("from_sheet"),
+            cur["score"].alias("from_score"))
         return F.when(better, moved).otherwise(cur)
 
-    done = joined.withColumn("_steps", steps).withColumn("_f", F.aggregate("_steps", start, step))
+    # A key without neighbours has walked nowhere.
+    known = F.coalesce("_t", F.array().cast(tried.schema["_t"].dataType))
+    done = joined.withColumn("_t", known).withColumn(
+        "_steps", F.when(weak, F.col("_t")).otherwise(none)).withColumn(
+        "_f", F.aggregate("_steps", start, step))
     f = F.col("_f")
     return done.select(
         "rc", f["sheet"].alias("sheet_name"), f["score"].alias("snap_score"),
+        f["dx"].alias("dx"), f["dy"].alias("dy"),
         f["from_sheet"].alias("from_sheet"), F.bround(f["from_score"], 3).alias("from_score"),
         F.when(f["from_sheet"].isNotNull(), F.bround(f["score"], 3)).alias("to_score"),
         F.transform("_steps", lambda t: F.struct(

@@ -19,13 +19,14 @@ def result_records(located: DataFrame, calibration: DataFrame, snaps: DataFrame,
     """One record per located key; refused keys have none.
 
     located is the outcome of `locate_keys`; snaps(rc14, dx, dy, score) of `choose_snap` and
-    moves(rc14, sheet_name, from_sheet, from_score, to_score, tried) of `edge_override`, each with at
-    most one row per key; parcels(refcat, area_m2, label); units(rc14), one row per unit. A key that
-    was moved to a neighbour sheet takes that sheet's name, cell and quadrant, and the reliability
-    is that of the new place.
+    moves(rc14, sheet_name, snap_score, dx, dy, from_sheet, from_score, to_score, tried) of
+    `edge_override`, each with at most one row per key; parcels(refcat, area_m2, label); units(rc14),
+    one row per unit. A key that was moved to a neighbour sheet takes that sheet's name, cell,
+    quadrant and snap, and the reliability is that of the new place.
     """
     moved = moves.select("rc14", F.col("sheet_name").alias("_to"), "from_sheet", "from_score",
-                         "to_score", "tried")
+                         "to_score", "tried", F.struct(
+                             "dx", "dy", F.col("snap_score").alias("score")).alias("_snap"))
     shift = snaps.select("rc14", F.struct("dx", "dy", "score").alias("snap"))
     area = parcels.select(F.col("refcat").alias("rc14"), F.col("area_m2").alias("polygon_area_m2"),
                           F.col("label").alias("polygon_label"))
@@ -37,6 +38,7 @@ def result_records(located: DataFrame, calibration: DataFrame, snaps: DataFrame,
     place = grid.split_sheet(to)
     rows = rows.withColumns({
         "sheet_name": F.coalesce(to, "sheet_name"),
+        "snap": F.when(to.isNotNull(), F.col("_snap")).otherwise(F.col("snap")),
         "cell": F.coalesce(grid.cell_name(place["col"], place["letter"]), "cell"),
         "sub": F.coalesce(place["sub"], "sub")})
     rated = C.attach_quality(rows, calibration)

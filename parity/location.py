@@ -257,7 +257,10 @@ def _(spark, sf):
         F.when(ok, F.array_join("warnings", "|")).alias("warnings"))
 
 
-D.define("quality", """
+
+def quality_sql(places: str) -> str:
+    """Offset in force at each place, and how good it is."""
+    return """
 SELECT p.*, coalesce(q.dx, c.dx, g.dx) AS odx, coalesce(q.dy, c.dy, g.dy) AS ody, q.n AS qn,
   CASE WHEN q.n IS NOT NULL THEN 'quadrant' WHEN c.direct THEN 'cell' WHEN c.direct IS NOT NULL
     THEN 'cell_interpolated' ELSE 'global' END AS source,
@@ -266,17 +269,25 @@ SELECT p.*, coalesce(q.dx, c.dx, g.dx) AS odx, coalesce(q.dy, c.dy, g.dy) AS ody
   CASE WHEN q.n >= 3 AND q.residual_px < 25 THEN 'high' WHEN q.n >= 2 AND q.residual_px < 50 THEN 'ok'
     WHEN q.n IS NOT NULL THEN 'low' WHEN c.direct THEN 'ok' WHEN c.direct IS NOT NULL THEN 'low'
     ELSE 'unknown' END AS reliability
-FROM placed p LEFT JOIN (SELECT * FROM calib WHERE level = 'quadrant') q ON q.key = p.cell || '-' || p.sub
+FROM """ + places + """ p LEFT JOIN (SELECT * FROM calib WHERE level = 'quadrant') q ON q.key = p.cell || '-' || p.sub
 LEFT JOIN (SELECT * FROM calib WHERE level = 'cell') c ON c.key = p.cell
-CROSS JOIN (SELECT * FROM calib WHERE level = 'global') g""", "placed", "calib")
-D.define("warned", """
+CROSS JOIN (SELECT * FROM calib WHERE level = 'global') g"""
+
+
+def warned_sql(rated: str) -> str:
+    """The message about a weak offset."""
+    return """
 SELECT *, CASE WHEN reliability = 'low' THEN 'Calibración débil (' || source || ', n=' || coalesce(qn, 0)::VARCHAR
     || '): residual esperable ±' || residual_m::VARCHAR || ' m'
   WHEN reliability = 'unknown' THEN 'Sin calibración local — usando bias global: residual esperable >'
     || residual_m::VARCHAR || ' m'
   WHEN residual_m > 2 THEN 'Bucket con varianza alta (σ ±' || residual_m::VARCHAR || ' m): posible offset residual'
   END AS qwarning
-FROM (SELECT *, round_even(residual_px / 11.81::DOUBLE, 2) AS residual_m FROM quality)""", "quality")
+FROM (SELECT *, round_even(residual_px / 11.81::DOUBLE, 2) AS residual_m FROM """ + rated + ")"
+
+
+D.define("quality", quality_sql("placed"), "placed", "calib")
+D.define("warned", warned_sql("quality"), "quality")
 
 
 @add("jn15_offset_fallback", with_sql(

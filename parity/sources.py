@@ -11,7 +11,7 @@ from lindero.operators import calibration as C
 from lindero.operators import locate as L
 from lindero.plans.location import locate_keys
 from lindero.plans.records import result_records
-from lindero.session import fresh_path
+from lindero.session import fresh_path, settle
 from lindero.sources import files as FI
 from lindero.sources import listings as LI
 from lindero.sources import responses as R
@@ -23,7 +23,7 @@ from parity.calibration import matches
 from parity.derived import with_sql
 from parity.geometry import features, heritage
 from parity.linkage import cards, link_pairs_sql, links_sql
-from parity.location import rural_sheets
+from parity.location import quality_sql, rural_sheets, warned_sql
 
 
 def txt(c):
@@ -391,48 +391,10 @@ def _(spark, sf):
 
 # ---- sinks ----------------------------------------------------------------------------------
 
-@add("snk1_result_records", with_sql("""
-SELECT l.k, v.rc, l.address, l.x, l.y, l.cell, l.sub AS sub_quadrant, l.compass AS sub_compass, l.sheet_name, l.url AS sheet_url,
-  concat_ws('|', l.warning, w.qwarning) AS warnings, round_even(l.rx_raw, 4) AS rx, round_even(l.ry_raw, 4) AS ry,
-  sc.dx AS snap_dx, sc.dy AS snap_dy, sc.score AS snap_score, w.reliability, w.residual_m, coalesce(u.n, 0) AS n_units, 'm' || l.id_ine::VARCHAR AS municipality
-FROM located l JOIN validated v ON v.k = l.k JOIN coords c ON c.rc14 = l.rc14 JOIN warned w ON w.k = c.k
-LEFT JOIN snap_choice sc ON sc.rc = c.k
-LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) u ON u.l_orderkey = c.k
-WHERE l.reason IS NULL""", "located", "validated", "warned", "snap_choice"))
-def _(spark, sf):
-    # The records of keys left on their own sheet; `snk1_moved_records` has the moves as well.
-    moves = spark.createDataFrame(
-        [], "rc14 string, sheet_name string, from_sheet string, from_score double, to_score double,"
-            " tried array<struct<sheet:string,score:double>>")
-    read = written_records(spark, sf, moves, D.parcels(spark, sf))
-    return read.select(
-        "k", "rc", "address", "utm.x", "utm.y", "cell", "sub_quadrant", "sub_compass", "sheet_name",
-        "sheet_url", F.array_join("warnings", "|").alias("warnings"), "body_relative.rx",
-        "body_relative.ry", F.col("snap.dx").alias("snap_dx"), F.col("snap.dy").alias("snap_dy"),
-        F.col("snap.score").alias("snap_score"), "calibration_quality.reliability",
-        F.col("calibration_quality.expected_residual_m").alias("residual_m"), "n_units",
-        "municipality")
-
-
-def written_records(spark, sf, moves, parcels):
-    """Result records of all keys, written and read again."""
-    from parity.calibration import snaps
-    out = locate_keys(D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf))
-    keys = D.keyed(spark, sf).select("k", "rc14")
-    snap = C.choose_snap(snaps(spark, sf)).join(keys, F.col("rc") == F.col("k"))
-    units = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).join(keys, "k")
-    records = result_records(
-        out, D.calib(spark, sf), snap.select("rc14", "dx", "dy", "score"), moves,
-        parcels.select("refcat", "area_m2", "label"), units.select("rc14"))
-    path = fresh_path(spark, "results")
-    S.write_results(records, path)
-    return spark.read.schema(records.schema).parquet(path)
-
-
-# Neighbour sheets of every placed key by side (1 west, 2 north, 3 south, 4 east); a side's score is
-# that of the snaps of the line with its number, 0 where there are none.
+# Neighbour sheets of every placed key by side (1 west, 2 north, 3 south, 4 east); a side's snap is
+# the best of the line with its number, with a score of 0 where there is none.
 D.define("edge_sides", """
-SELECT e.k AS rc, n_sheet, coalesce(n.score, 0.0) AS n_score,
+SELECT e.k AS rc, n_sheet, coalesce(n.score, 0.0) AS n_score, n.dx AS n_dx, n.dy AS n_dy,
   row_number() OVER (PARTITION BY e.k ORDER BY e.side)::INT AS i
 FROM (SELECT k, side, 'PLANO_' || ncol::VARCHAR || '_' || substr({L}, nrow + 1, 1) || '_'
         || CASE (CASE WHEN ny < 0.5 THEN 'N' ELSE 'S' END) || (CASE WHEN nx < 0.5 THEN 'W' ELSE 'E' END)
@@ -442,20 +404,23 @@ FROM (SELECT k, side, 'PLANO_' || ncol::VARCHAR || '_' || substr({L}, nrow + 1,
             UNION ALL SELECT k, 3, col, row + 1, x_in, y_in - 1 FROM placed WHERE (1 - y_in) * {ch} < 50
             UNION ALL SELECT k, 4, col + 1, row, x_in - 1, y_in FROM placed WHERE (1 - x_in) * {cw} < 50)
       WHERE nrow BETWEEN 0 AND 24) e
-LEFT JOIN (SELECT rc, (ord // 1000000)::INT AS side, max(score) AS score FROM snaps GROUP BY ALL) n
+LEFT JOIN (SELECT rc, side, max(score) AS score, arg_min(dx, row(-score, ord, dx, dy)) AS dx, arg_min(dy, row(-score, ord, dx, dy)) AS dy
+           FROM (SELECT *, (ord // 1000000)::INT AS side FROM snaps) GROUP BY rc, side) n
   ON n.rc = e.k AND n.side = e.side
 WHERE n_sheet IN (SELECT sheet_name FROM sheets)""".format(L=D.LETTERS, **D.G), "placed", "sheets", "snaps")
 # The fold of `edge_fold` over these sheets, from the chosen snap of each located key.
 D.define("edge_moves", """
-WITH RECURSIVE p AS (SELECT l.k AS rc, l.sheet_name AS sheet, sc.score FROM located l
+WITH RECURSIVE p AS (SELECT l.k AS rc, l.sheet_name AS sheet, sc.score, sc.dx, sc.dy FROM located l
   JOIN snap_choice sc ON sc.rc = l.k WHERE l.reason IS NULL),
-f AS (SELECT rc, 0 AS i, sheet, score, NULL::VARCHAR AS from_sheet, NULL::DOUBLE AS from_score, score AS first FROM p
+f AS (SELECT rc, 0 AS i, sheet, score, dx, dy, NULL::VARCHAR AS from_sheet, NULL::DOUBLE AS from_score, score AS first FROM p
   UNION ALL SELECT f.rc, n.i, CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN n.n_sheet ELSE f.sheet END,
     CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN n.n_score ELSE f.score END,
+    CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN n.n_dx ELSE f.dx END,
+    CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN n.n_dy ELSE f.dy END,
     CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN f.sheet ELSE f.from_sheet END,
     CASE WHEN n.n_score > f.score + 0.05::DOUBLE THEN f.score ELSE f.from_score END, f.first
   FROM f JOIN edge_sides n ON n.rc = f.rc AND n.i = f.i + 1 WHERE f.first < 0.25::DOUBLE)
-SELECT f.rc, sheet AS sheet_name, from_sheet, round_even(from_score, 3) AS from_score,
+SELECT f.rc, sheet AS sheet_name, score AS snap_score, dx AS snap_dx, dy AS snap_dy, from_sheet, round_even(from_score, 3) AS from_score,
   CASE WHEN from_sheet IS NOT NULL THEN round_even(score, 3) END AS to_score, i AS n_tried,
   coalesce((SELECT string_agg(n_sheet || ' ' || (round_even(n_score * 1000, 0)::INT)::VARCHAR, '|' ORDER BY e.i)
             FROM edge_sides e WHERE e.rc = f.rc AND e.i <= f.i), '') AS tried
@@ -464,11 +429,11 @@ D.define("moved_place", """
 SELECT p.* REPLACE (CASE WHEN m.from_sheet IS NULL THEN p.sheet_name ELSE m.sheet_name END AS sheet_name,
   CASE WHEN m.from_sheet IS NULL THEN p.cell ELSE split_part(m.sheet_name, '_', 2) || '-' || split_part(m.sheet_name, '_', 3) END AS cell,
   CASE WHEN m.from_sheet IS NULL THEN p.sub ELSE regexp_extract(m.sheet_name, '_([IV]+)[.]pdf$', 1) END AS sub),
-  m.from_sheet, m.from_score, m.to_score, m.n_tried, m.tried
+  m.from_sheet, m.from_score, m.to_score, m.n_tried, m.tried, m.snap_dx, m.snap_dy, m.snap_score
 FROM placed p LEFT JOIN edge_moves m ON m.rc = p.k""", "placed", "edge_moves")
 # The quality of the place after the move.
-D.define("moved_quality", D.SQL["quality"][0].replace("FROM placed p", "FROM moved_place p"), "moved_place", "calib")
-D.define("moved_warned", D.SQL["warned"][0].replace("FROM quality", "FROM moved_quality"), "moved_quality")
+D.define("moved_quality", quality_sql("moved_place"), "moved_place", "calib")
+D.define("moved_warned", warned_sql("moved_quality"), "moved_quality")
 # Parcels named like the keys: each key not left out has the area and label of its customer's parcel.
 D.define("key_parcels", """
 SELECT rc14 AS refcat, area_m2, label FROM keyed JOIN parcels ON ck = cust WHERE k % 6 <> 5""", "keyed", "parcels")
@@ -480,31 +445,28 @@ def key_parcels(spark, sf):
         F.col("rc14").alias("refcat"), "area_m2", "label")
 
 
-def edge_moves(spark, sf):
+def edge_moves(spark, sf, located, chosen, candidates):
     """Outcome of `edge_override` for the located keys, by rc14."""
-    from parity.calibration import snaps
-    from parity.location import home
-    s = snaps(spark, sf)
-    scores = s.select("rc", F.floor(F.col("ord") / 1000000).cast("int").alias("ord"), "score").groupBy(
-        "rc", "ord").agg(F.max("score").alias("n_score"))
+    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("ord").alias("o"), "dx", "dy"))
+    scores = candidates.groupBy("rc", F.floor(F.col("ord") / 1000000).cast("int").alias("ord")).agg(
+        best.alias("b")).select("rc", "ord", (-F.col("b.less")).alias("n_score"),
+                                F.col("b.dx").alias("n_dx"), F.col("b.dy").alias("n_dy"))
     side = (F.when(F.col("n_col") < F.col("col"), 1).when(F.col("n_row") < F.col("row"), 2)
             .when(F.col("n_row") > F.col("row"), 3).otherwise(4))
-    sides = L.edge_neighbours(D.placed(spark, sf), D.sheets(spark, sf), home()).select(
+    sides = L.edge_neighbours(located, D.sheets(spark, sf), F.col("_m")).select(
         F.col("k").alias("rc"), side.alias("ord"), "n_sheet")
     neighbours = sides.join(scores, ["rc", "ord"], "left").select(
-        "rc", "ord", "n_sheet", F.coalesce("n_score", F.lit(0.0)).alias("n_score"))
-    located = locate_keys(D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf))
-    primary = located.filter(F.col("reason").isNull()).select(
-        F.col("k").alias("rc"), "rc14", "sheet_name").join(
-        C.choose_snap(s).select("rc", F.col("score").alias("snap_score")), "rc")
-    return C.edge_override(primary.drop("rc14"), neighbours).join(
-        primary.select("rc", "rc14"), "rc").drop("rc", "snap_score")
+        "rc", "ord", "n_sheet", F.coalesce("n_score", F.lit(0.0)).alias("n_score"), "n_dx", "n_dy")
+    primary = located.select(F.col("k").alias("rc"), "rc14", "sheet_name").join(
+        chosen.select("rc", F.col("score").alias("snap_score"), "dx", "dy"), "rc")
+    return C.edge_override(primary, neighbours).join(primary.select("rc", "rc14"), "rc").drop("rc")
 
 
 @add("snk1_moved_records", with_sql("""
 SELECT l.k, v.rc, l.address, l.x, l.y, w.cell, w.sub AS sub_quadrant, l.compass AS sub_compass, w.sheet_name, l.url AS sheet_url,
   concat_ws('|', l.warning, w.qwarning) AS warnings, round_even(l.rx_raw, 4) AS rx, round_even(l.ry_raw, 4) AS ry,
-  sc.dx AS snap_dx, sc.dy AS snap_dy, sc.score AS snap_score, w.from_sheet, w.from_score,
+  CASE WHEN w.from_sheet IS NOT NULL THEN w.snap_dx ELSE sc.dx END AS snap_dx, CASE WHEN w.from_sheet IS NOT NULL THEN w.snap_dy ELSE sc.dy END AS snap_dy,
+  CASE WHEN w.from_sheet IS NOT NULL THEN w.snap_score ELSE sc.score END AS snap_score, w.from_sheet, w.from_score,
   CASE WHEN w.from_sheet IS NOT NULL THEN w.sheet_name END AS to_sheet, w.to_score, w.n_tried::INT AS n_tried, w.tried,
   w.source, coalesce(w.qn, 0) AS n_labels, w.residual_px, w.residual_m, w.reliability, kp.area_m2 AS polygon_area_m2,
   kp.label AS polygon_label, coalesce(u.n, 0) AS n_units, 'm' || l.id_ine::VARCHAR AS municipality
@@ -513,7 +475,21 @@ LEFT JOIN snap_choice sc ON sc.rc = c.k LEFT JOIN key_parcels kp ON kp.refcat =
 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) u ON u.l_orderkey = c.k
 WHERE l.reason IS NULL""", "located", "validated", "moved_warned", "snap_choice", "key_parcels"))
 def _(spark, sf):
-    read = written_records(spark, sf, edge_moves(spark, sf), key_parcels(spark, sf))
+    from parity.calibration import snaps
+    candidates = snaps(spark, sf)
+    # Both are read by the moves and by the records.
+    located = settle(locate_keys(D.requests(spark, sf), D.coords(spark, sf), D.sheets(spark, sf)),
+                     "located").filter(F.col("reason").isNull())
+    chosen = settle(C.choose_snap(candidates), "chosen")
+    keys = D.keyed(spark, sf).select("k", "rc14")
+    units = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).join(keys, "k")
+    records = result_records(
+        located, D.calib(spark, sf), chosen.join(keys, F.col("rc") == F.col("k")).select(
+            "rc14", "dx", "dy", "score"), edge_moves(spark, sf, located, chosen, candidates),
+        key_parcels(spark, sf), units.select("rc14"))
+    path = fresh_path(spark, "results")
+    S.write_results(records, path)
+    read = spark.read.schema(records.schema).parquet(path)
     tried = F.transform("edge_candidates_tried", lambda t: F.concat(
         t["sheet"], F.lit(" "), txt(F.bround(t["score"] * 1000, 0).cast("int"))))
     return read.select(

@@ -133,8 +133,9 @@ def test_full_record_of_a_moved_key(spark):
     snaps = spark.createDataFrame([("0152067TP7005S", 3, -4, 0.2)], "rc14 string, dx int, dy int, score double")
     tried = [("PLANO_15_L_II.pdf", 0.6)]
     moves = spark.createDataFrame(
-        [("0152067TP7005S", "PLANO_15_L_II.pdf", "PLANO_16_K_I.pdf", 0.2, 0.6, tried)],
-        "rc14 string, sheet_name string, from_sheet string, from_score double, to_score double,"
+        [("0152067TP7005S", "PLANO_15_L_II.pdf", 0.6, 7, 1, "PLANO_16_K_I.pdf", 0.2, 0.6, tried)],
+        "rc14 string, sheet_name string, snap_score double, dx int, dy int, from_sheet string,"
+        " from_score double, to_score double,"
         " tried array<struct<sheet:string,score:double>>")
     parcels = spark.createDataFrame([("0152067TP7005S", 12.5, "P1")],
                                     "refcat string, area_m2 double, label string")
@@ -147,7 +148,7 @@ def test_full_record_of_a_moved_key(spark):
     assert r["edge_override"] == {"from_sheet": "PLANO_16_K_I.pdf", "from_score": 0.2,
                                   "to_sheet": "PLANO_15_L_II.pdf", "to_score": 0.6}
     assert r["edge_candidates_tried"] == [{"sheet": "PLANO_15_L_II.pdf", "score": 0.6}]
-    assert r["snap"] == {"dx": 3, "dy": -4, "score": 0.2}
+    assert r["snap"] == {"dx": 7, "dy": 1, "score": 0.6}  # of the sheet it was moved to
     assert r["calibration_quality"]["source"] == "quadrant" and r["calibration_quality"]["n_labels"] == 4
     assert (r["polygon_area_m2"], r["polygon_label"], r["n_units"], r["municipality"]) == (
         12.5, "P1", 3, "m33044")
