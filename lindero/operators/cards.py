@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lindero.functions import text as T
 from lindero.functions.keys import strip
+from lindero.operators.scan import applied, running, transition
 from lindero.operators.skew import FLOOR_ROWS, SHARE, salted_join
 from lindero.session import settle
 
@@ -241,46 +242,90 @@ def section_lines(lines: DataFrame, bounds: DataFrame, share: int = SHARE,
 LAND_ROW = "struct<codigo:string,calificacion:string,m2_suelo:double,m2_construible:double>"
 
 
-def land_tables(body: DataFrame) -> DataFrame:
-    """(doc, section, filas, total_suelo, total_construible) of the two land tables.
+FOUR = 4  # lines of a table row
+
+
+def land_rows(body: DataFrame) -> DataFrame:
+    """(doc, section, pos, codigo, calificacion, m2_suelo, m2_construible): the rows of the land tables.
 
-    Filled lines are read in fours whose last two are numbers; on failure one line is skipped. The
-    lines of one printed table of one card are gathered, nothing more.
+    Filled lines are read in fours whose last two are numbers; on failure one line is skipped. Which
+    lines are passed over is a machine of four states, the lines still to skip. Lines are laid out
+    by range, so a table of any length spreads over tasks; each range composes its own transitions,
+    and only the few tables that cross from one range into the next hand on a state and borrow the
+    next three lines: at most two tables for each range, which bounds what is broadcast.
     """
-    rows = body.filter(F.col("section").isin(*TABLES)
-                       & ~T.squeezed(F.col("text")).isin(*TABLE_HEADERS))
-    item = F.struct("pos", "text")
-    per = rows.groupBy("doc", "section").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("after"), item))).alias("_in"),
-        F.array_sort(F.collect_list(F.when(F.col("after"), item))).alias("_out"))
-    texts = F.transform("_in", lambda e: e["text"])
+    key = ["doc", "section"]
+    part = ["_range", *key]
+    rows = body.filter(F.col("section").isin(*TABLES) & ~F.col("after")
+                       & ~T.squeezed(F.col("text")).isin(*TABLE_HEADERS)).select(*key, "pos", "text")
+    laid = settle(rows.repartitionByRange(*key, "pos").withColumn(
+        "_range", F.spark_partition_id()), "lines")
+    inside = Window.partitionBy(*part).orderBy("pos")
+    numbered = laid.withColumn("_i", F.row_number().over(inside))
+    longest = numbered.agg(F.max("_i")).first()[0] or 0
+
+    # The parts of tables that lie in several ranges, with the first lines of the parts behind them.
+    among = Window.partitionBy(*key).orderBy("_range")
+    first = F.when(F.col("_i") < FOUR, F.struct("pos", "text"))
+    heads = numbered.groupBy(*part).agg(F.transform(
+        F.array_sort(F.collect_list(first)), lambda e: e["text"]).alias("_head"))
+    none = F.array().cast("array<string>")
+    behind = F.concat(*[F.coalesce(F.lead("_head", i).over(among), none) for i in range(1, FOUR)])
+    crossing = settle(
+        heads.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+        .withColumn("_ahead", F.slice(behind, 1, FOUR - 1)).filter("_parts > 1")
+        .select(*part, "_ahead"), "crossing")
 
     def numeric(s: Column) -> Column:
         return F.coalesce(strip(F.regexp_replace(s, " m2", "")).rlike(TABLE_NUMBER), F.lit(False))
 
-    per = per.withColumn("_t", texts).withColumn(
-        "_num", F.transform("_t", numeric))
-    t, num = F.col("_t"), F.col("_num")
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, i: Column) -> Column:
-        whole = (i + 3 < F.size(t)) & F.get(num, i + 2) & F.get(num, i + 3)
-        return F.when(
-            (i == acc["next"]) & F.coalesce(whole, F.lit(False)),
-            F.struct((i + 4).alias("next"), F.array_append(acc["at"], i).alias("at")),
-        ).when(i == acc["next"], F.struct((i + 1).alias("next"), acc["at"].alias("at"))) \
-            .otherwise(acc)
-
-    index = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    per = per.withColumn("_i", index).withColumn("_g", F.aggregate("_i", start, step)["at"])
-    land = F.transform("_g", lambda i: F.struct(
-        F.get(t, i).alias("codigo"), F.get(t, i + 1).alias("calificacion"),
-        T.european_number(F.get(t, i + 2)).alias("m2_suelo"),
-        T.european_number(F.get(t, i + 3)).alias("m2_construible")))
+    def coded(lines: DataFrame) -> DataFrame:
+        """Each line with the three after it, and its transition composed with those before."""
+        left = F.count(F.lit(1)).over(Window.partitionBy(*part)) - F.row_number().over(inside)
+        lines = lines.withColumns({"_left": left.cast("int"), **{
+            f"_t{k}": F.lead("text", k).over(inside) for k in range(1, FOUR)}})
+        lines = lines.withColumns({
+            f"_t{k}": F.coalesce(f"_t{k}", F.get("_ahead", F.lit(k - 1) - F.col("_left")))
+            for k in range(1, FOUR)})
+        whole = numeric(F.col("_t2")) & numeric(F.col("_t3"))
+        lines = lines.withColumn("_whole", whole).withColumn("_code", transition(
+            F.when(F.col("_whole"), FOUR - 1).otherwise(0), F.lit(0), F.lit(1), F.lit(2)))
+        return running(lines, part, "pos", "_code", longest)
+
+    # A table's state at the start of each of its parts but the first.
+    ends = coded(laid.join(F.broadcast(crossing), part)).groupBy(*part).agg(
+        F.max_by("_code", "pos").alias("_code"))
+    ranges = (crossing.agg(F.max("_range")).first()[0] or 0) + 1
+    handed = running(ends, key, "_range", "_code", ranges)
+    entry = applied(F.lag("_code").over(among), F.lit(0))
+    entries = crossing.join(handed.select(*part, F.coalesce(entry, F.lit(0)).alias("_entry")), part)
+
+    lines = coded(laid.join(F.broadcast(entries), part, "left"))
+    entered = F.coalesce("_entry", F.lit(0))
+    state = F.coalesce(applied(F.lag("_code").over(inside), entered), entered)
+    return lines.withColumn("_state", state).filter((F.col("_state") == 0) & F.col("_whole")).select(
+        *key, "pos", F.col("text").alias("codigo"), F.col("_t1").alias("calificacion"),
+        T.european_number(F.col("_t2")).alias("m2_suelo"),
+        T.european_number(F.col("_t3")).alias("m2_construible"))
+
+
+def land_tables(body: DataFrame) -> DataFrame:
+    """(doc, section, filas, total_suelo, total_construible) of the two land tables.
+
+    The rows of `land_rows` are gathered by table, which is the result; the totals are the first two
+    of the at most seven lines behind it.
+    """
+    rows = body.filter(F.col("section").isin(*TABLES)
+                       & ~T.squeezed(F.col("text")).isin(*TABLE_HEADERS))
+    per = rows.groupBy("doc", "section").agg(F.array_sort(F.collect_list(
+        F.when(F.col("after"), F.struct("pos", "text")))).alias("_out"))
+    land = F.struct("codigo", "calificacion", "m2_suelo", "m2_construible")
+    filled = land_rows(body).groupBy("doc", "section").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", land.alias("row")))),
+        lambda e: e["row"]).alias("filas"))
     both = F.size("_out") >= 2
-    return per.select(
-        "doc", "section", land.alias("filas"),
+    return per.join(filled, ["doc", "section"], "left").select(
+        "doc", "section", F.coalesce("filas", F.array().cast(f"array<{LAND_ROW}>")).alias("filas"),
         F.when(both, T.european_number(F.get("_out", F.lit(0))["text"])).alias("total_suelo"),
         F.when(both, T.european_number(F.get("_out", F.lit(1))["text"])).alias("total_construible"))
 
