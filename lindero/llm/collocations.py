@@ -23,6 +23,7 @@ NEVER = 255            # no phrase of that place has reached the threshold
 BUFFER = 8 << 20       # bytes of text worked on at once
 PART = 1 << 20         # bytes of a stored row; longer texts are cut between pieces
 GATHERED = 32 << 20    # bytes of phrases counted at once
+TOGETHER = 1 << 16     # phrases gathered at once
 UNKNOWN = "und"
 # A to Z small, all ends of pieces as line feeds, tabs as spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09",
@@ -62,7 +63,12 @@ def tally(data: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarra
         n = sizes[at:stop]
         offsets = np.zeros(len(n) + 1, dtype=np.int64)
         np.cumsum(n, out=offsets[1:])
-        chars = data[np.arange(offsets[-1]) + np.repeat(low[at:stop] - offsets[:-1], n)]
+        chars = np.empty(offsets[-1], dtype=np.uint8)
+        for a in range(0, len(n), TOGETHER):  # indices take many times the bytes they gather
+            z = min(len(n), a + TOGETHER)
+            first, last = offsets[a], offsets[z]
+            chars[first:last] = data[np.arange(first, last) + np.repeat(
+                low[at + a:at + z] - offsets[a:z], n[a:z])]
         phrases = pa.Array.from_buffers(pa.large_string(), len(n), [
             None, pa.py_buffer(offsets), pa.py_buffer(chars)])
         coded = phrases.dictionary_encode()
