@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lindero.llm.common import unit_hash
-from lindero.llm.vectors import as_matrix, cosines, stored, stored_as, unit
+from lindero.llm.vectors import as_matrix, cosines, stored, stored_as, unit, usable, widths
+from lindero.session import settle
 
 TREES = 4
 SAMPLE = 8192          # vectors the trees are fitted on, at most
@@ -103,22 +104,32 @@ def search(vectors: DataFrame, is_query, k: int = 5, visited: float = VISITED,
     several tasks, and many queries of one leaf go in blocks, so no task holds an unbounded
     group. Each task returns k rows a query.
 
-    Unusable vectors (see `stored`) take no part. Equal vectors are all candidates. A repeated vec_id is
-    repeated in the results only as far as its vectors differ; a null vec_id is never returned.
-    An empty table gives an empty table.
+    Unusable vectors (see `usable`) take no part, and vectors of different numbers of dimensions do
+    not meet. A query leaves out its own row only: equal vectors, rows of the same vec_id and rows
+    with a null vec_id (last among ties) are candidates like all others, and each row of a repeated
+    query id is a query. Extra columns are not looked at. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    kind, packed = vectors.schema["vec_id"].dataType, stored_as(vectors)
-    own = stored(vectors.select("vec_id", "embedding")).filter(
-        F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
-    schema = T.StructType([
+    kind = vectors.schema["vec_id"].dataType
+    given = usable(vectors.select("vec_id", "embedding"))
+    out = spark.createDataFrame([], T.StructType([
         T.StructField("query_id", kind), T.StructField("rank", T.IntegerType()),
-        T.StructField("vec_id", kind), T.StructField("score", T.DoubleType())])
+        T.StructField("vec_id", kind), T.StructField("score", T.DoubleType())]))
+    for size in widths(given):
+        out = out.unionByName(_search(stored(given, size, stored_as(vectors)), stored_as(vectors),
+                                      is_query, k, visited, sample))
+    return out
+
+
+def _search(vectors: DataFrame, packed: str, is_query, k: int, visited: float,
+            sample: int) -> DataFrame:
+    """`search` among stored vectors of one size, of which there is one at least."""
+    spark = vectors.sparkSession
+    # Written before it is read again, so a row keeps its number.
+    own = settle(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
     rows = own.count()
-    if not rows:
-        return spark.createDataFrame([], schema)
-    drawn = own.filter(unit_hash(F.col("vec_id"), F.lit("forest")) < 2.0 * sample / rows).orderBy(
-        F.xxhash64("vec_id", F.lit("forest")), "vec_id", "vec").limit(sample)
+    drawn = own.filter(unit_hash(F.col("row"), F.lit("forest")) < 2.0 * sample / rows).orderBy(
+        F.xxhash64("row", F.lit("forest")), "row").limit(sample)
     forest = fit(unit(as_matrix([bytes(r["vec"]) for r in drawn.collect()], packed)), rows)
     budget = max(TREES, int(np.ceil(visited * TREES * forest.leaves)))
 
@@ -128,7 +139,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, visited: float = VISITED,
                 x = unit(as_matrix(batch.column("vec").to_pylist(), packed))
                 yield pa.RecordBatch.from_pydict({
                     "leaf": pa.array(forest.place(x).tolist(), pa.list_(pa.int64())),
-                    "vec_id": batch.column("vec_id"), "vec": batch.column("vec")})
+                    **{c: batch.column(c) for c in ("row", "vec_id", "vec")}})
 
     def visits(batches):
         for batch in batches:
@@ -137,10 +148,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, visited: float = VISITED,
                 yield pa.RecordBatch.from_pydict({
                     "leaf": pa.array([forest.visit(q, budget) for q in x],
                                      pa.list_(pa.int64())),
-                    "vec_id": batch.column("vec_id"), "vec": batch.column("vec")})
+                    **{c: batch.column(c) for c in ("row", "vec_id", "vec")}})
 
     held = T.StructType([T.StructField("leaf", T.ArrayType(T.LongType())),
-                         own.schema["vec_id"], own.schema["vec"]])
+                         own.schema["row"], own.schema["vec_id"], own.schema["vec"]])
     placed = own.mapInArrow(leaves, held).withColumn("leaf", F.explode("leaf"))
     asked = own.filter(is_query).mapInArrow(visits, held).withColumn("leaf", F.explode("leaf"))
     # How many chunks a leaf has and how many blocks its queries: at most TREES * 2 ** MAX_DEPTH rows.
@@ -150,13 +161,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, visited: float = VISITED,
         F.count(F.lit(1)).alias("n")).collect()}
     parts = {leaf: (-(-n_rows[leaf] // CHUNK_ROWS), -(-n_asked.get(leaf, 0) // QUERIES_AT_ONCE))
              for leaf in n_rows if n_asked.get(leaf)}
-    if not parts:
-        return spark.createDataFrame([], schema)
-    chunks = F.create_map(*[F.lit(x) for leaf, p in parts.items() for x in (leaf, p[0])])
-    blocks = F.create_map(*[F.lit(x) for leaf, p in parts.items() for x in (leaf, p[1])])
+    chunks, blocks = (F.create_map(*[F.lit(x) for leaf, p in (parts or {-1: (0, 0)}).items()
+                                     for x in (leaf, p[i])]) for i in (0, 1))
     n_chunks = F.coalesce(F.element_at(chunks, F.col("leaf")), F.lit(0))
     n_blocks = F.coalesce(F.element_at(blocks, F.col("leaf")), F.lit(0))
-    salt = F.xxhash64("vec_id", "vec")
+    salt = F.xxhash64("row")
     left = (placed.filter(n_chunks > 0)
             .withColumn("chunk", F.pmod(salt, n_chunks).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))))
@@ -164,36 +173,48 @@ def search(vectors: DataFrame, is_query, k: int = 5, visited: float = VISITED,
              .withColumn("block", F.pmod(salt, n_blocks).cast("int"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))))
     keys = ["leaf", "chunk", "block"]
-    id_type = pa.int64() if isinstance(kind, T.LongType) else None
 
     def score(key, rows_table, query_table):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        names, ids = query_table.column("vec_id"), rows_table.column("vec_id")
+        left, right, scores = [], [], []
         if rows_table.num_rows and query_table.num_rows:
             x = as_matrix(rows_table.column("vec").to_pylist(), packed)
             q = as_matrix(query_table.column("vec").to_pylist(), packed)
-            ids = np.array(rows_table.column("vec_id").to_pylist())
-            names = np.array(query_table.column("vec_id").to_pylist())
+            row, own_row = (np.asarray(t.column("row")) for t in (rows_table, query_table))
+            # order of the ids, null last
+            listed = ids.to_pylist()
+            order = sorted(range(len(listed)), key=lambda i: (
+                listed[i] is None, 0 if listed[i] is None else listed[i], row[i]))
+            place = np.empty(len(listed), dtype=np.int64)
+            place[order] = np.arange(len(listed))
             ux, uq = unit(x), unit(q)
             for at in range(0, len(q), 256):
                 near = uq[at:at + 256] @ ux.T
-                near[names[at:at + 256, None] == ids[None]] = -2.0
-                keep = min(k, len(ids))
-                edge = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                for i, row in enumerate(near):
-                    some = np.flatnonzero((row >= edge[i] - 1e-9) & (row > -1.5))
+                near[own_row[at:at + 256, None] == row[None]] = -2.0
+                keep = min(k, len(row))
+                edge = np.partition(near, len(row) - keep, axis=1)[:, len(row) - keep]
+                for i, line in enumerate(near):
+                    some = np.flatnonzero((line >= edge[i] - 1e-9) & (line > -1.5))
                     exact = cosines(np.broadcast_to(q[at + i], (len(some), q.shape[1])), x[some])
-                    best = np.lexsort((ids[some], -exact))[:k]
-                    out["query_id"] += [names[at + i]] * len(best)
-                    out["vec_id"] += ids[some[best]].tolist()
-                    out["score"] += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], id_type),
-                         "vec_id": pa.array(out["vec_id"], id_type),
-                         "score": pa.array(out["score"], pa.float64())})
-
-    found = (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        score, T.StructType([schema["query_id"], schema["vec_id"], schema["score"]])))
+                    best = np.lexsort((place[some], -exact))[:k]
+                    left += [at + i] * len(best)
+                    right += some[best].tolist()
+                    scores += exact[best].tolist()
+        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        return pa.table({
+            "query": query_table.column("row").take(left), "query_id": names.take(left),
+            "row": rows_table.column("row").take(right), "vec_id": ids.take(right),
+            "score": pa.array(scores, pa.float64())})
+
+    kind = own.schema["vec_id"].dataType
+    found = (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, T.StructType([
+        T.StructField("query", T.LongType()), T.StructField("query_id", kind),
+        T.StructField("row", T.LongType()), T.StructField("vec_id", kind),
+        T.StructField("score", T.DoubleType())])))
     # a candidate met in several trees counts once; then the k best of all leaves
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query", "row").agg(
+        F.max("score").alias("score"), F.first("query_id").alias("query_id"),
+        F.first("vec_id").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return (once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

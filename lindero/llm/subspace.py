@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lindero.llm.common import unit_hash
 from lindero.llm.graph import Forest, components
-from lindero.llm.vectors import as_matrix, cosines, stored, stored_as, unit
+from lindero.llm.vectors import as_matrix, cosines, stored, stored_as, unit, usable, widths
 from lindero.session import settle
 
 THRESHOLD = 0.9      # cosine from which two vectors are linked
@@ -130,21 +130,28 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     belongs to the first of them. Pairs are counted in the task and never become rows: a task
     returns one row per linked node, with its count and one node it is connected to.
 
-    Unusable vectors (null, zero, null or non-finite components, another number of dimensions
-    than most) are linked with nothing and kept. Rows with a null vec_id take part; their
-    component_id is the smallest id around, null if there is none. Empty table: empty result.
+    Unusable vectors (see `usable`) are linked with nothing and kept. Vectors of different numbers
+    of dimensions are never linked. Rows with a null vec_id take part; their component_id is the
+    smallest id around, null if there is none. Extra columns are not looked at. Empty table: empty
+    result.
     """
+    kind, given = stored_as(vectors), usable(vectors.select("vec_id", "embedding"))
+    out = given.filter(F.col("size").isNull()).select(
+        "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
+        F.lit(True).alias("kept"))
+    for size in widths(given):
+        out = out.unionByName(_near_vectors(stored(given, size, kind), kind, threshold))
+    return out
+
+
+def _near_vectors(vectors: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """`near_vectors` of stored vectors of one size, of which there is one at least."""
     spark = vectors.sparkSession
-    kind = stored_as(vectors)
-    keyed = stored(vectors.select("vec_id", "embedding")).withColumn(
-        "key", F.unhex(F.md5("vec")))
-    nodes = settle(keyed.filter(F.col("vec").isNotNull()).groupBy("key").agg(
+    keyed = vectors.withColumn("key", F.unhex(F.md5("vec")))
+    nodes = settle(keyed.groupBy("key").agg(
         F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("n"),
         F.min("vec_id").alias("least")), "vectors")
     rows = nodes.count()
-    if not rows:
-        return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
-                              F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     drawn = nodes.filter(unit_hash(F.col("key"), F.lit("cells")) < 2.0 * SAMPLE / rows).orderBy(
         F.xxhash64("key", F.lit("cells")), "key").limit(SAMPLE)
     blocks = plan(as_matrix([bytes(r["vec"]) for r in drawn.collect()] or

@@ -21,33 +21,37 @@ def as_matrix(values: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
 
 
-def stored(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, vec) of every row: vec is the vector in binary, null where it cannot be used.
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """(vec_id, v, size): size is the number of dimensions, null where a vector cannot be used.
 
-    Unusable are vectors that are null, empty or zero or hold null or non-finite components, and
-    those of another number of dimensions than the most frequent one.
+    Unusable are vectors that are null, empty or zero or hold null or non-finite components.
     """
-    small_batches(vectors.sparkSession, 2048)
-    kind = stored_as(vectors, column)
     good = (F.col("v").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall(
         "v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))))
-    own = vectors.select("vec_id", F.col(column).alias("v")).withColumn("good", good)
-    usual = own.filter("good").groupBy(F.size("v").alias("size")).agg(
-        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    size = usual[0]["size"] if usual else 0
-    own = own.select("vec_id", F.when(F.col("good") & (F.size("v") == size), F.col("v")).alias("v"))
+    return vectors.select("vec_id", F.col(column).alias("v")).withColumn(
+        "size", F.when(good, F.size("v")))
+
+
+def widths(vectors: DataFrame) -> list[int]:
+    """The numbers of dimensions that occur among usable vectors; vectors of different ones are never
+    compared, so each has a job of its own."""
+    return sorted(r["size"] for r in vectors.filter(F.col("size").isNotNull())
+                  .select("size").distinct().collect())
+
+
+def stored(vectors: DataFrame, size: int, kind: str) -> DataFrame:
+    """(vec_id, vec): the usable vectors of one size, in binary."""
+    small_batches(vectors.sparkSession, 2048)
+    own = vectors.filter(F.col("size") == size).select("vec_id", "v")
 
     def run(batches):
+        width = size * int(kind[-1])
         for batch in batches:
-            v = batch.column("v")
-            data = np.asarray(v.flatten(), kind).tobytes()
-            width = size * int(kind[-1])
-            at, out = 0, []
-            for present in v.is_valid().to_pylist():
-                out.append(data[at:at + width] if present else None)
-                at += width * present
+            data = np.asarray(batch.column("v").flatten(), kind).tobytes()
             yield pa.RecordBatch.from_pydict({
-                "vec_id": batch.column("vec_id"), "vec": pa.array(out, pa.binary())})
+                "vec_id": batch.column("vec_id"),
+                "vec": pa.array([data[i * width:(i + 1) * width] for i in range(batch.num_rows)],
+                                pa.binary())})
 
     return own.mapInArrow(run, T.StructType([own.schema["vec_id"],
                                              T.StructField("vec", T.BinaryType())]))

@@ -243,4 +243,59 @@ def test_search_small_tables(spark):
     rows = [(0, [1.0, 0.0], 0, "k", 1), (2, [1.0, 0.0], 0, "k", 1), (1, [1.0, 0.0], 0, "k", 1),
             (None, [1.0, 0.0], 0, "k", 1), (4, None, 0, "k", 1)]
     found = forest.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0).collect()
-    assert [tuple(r) for r in sorted(found)] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+    assert [tuple(r) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, None, 1.0)]
+
+
+def test_search_leaves_out_its_own_row_only(spark):
+    rows = [(50, [1.0, 0.0], 0, "k", 1), (50, [1.0, 0.1], 0, "k", 1), (50, [1.0, 0.1], 0, "k", 1),
+            (7, [0.0, 1.0], 0, "k", 1), (50, [1.0, 2.0, 3.0], 0, "k", 1), (8, [1.0, 2.0, 3.1], 0, "k", 1)]
+    found = forest.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 50).collect()
+    near = 1 / np.sqrt(1 + np.float64(np.float32(0.1)) ** 2)
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in found)
+    assert [g[1:] for g in got if g[0] == 1 and g[1] == 50] == [(50, round(near, 6)), (50, 1.0), (50, 1.0)]
+    assert [g[0] for g in got if g[1] == 8] == [1]
+    # two dimensions: three queries with three candidates each; three dimensions: one with one
+    assert len(found) == 3 * 3 + 1
+
+
+def test_near_vectors_of_two_widths(spark):
+    wide = vectors(5)[:30]
+    rows = [(i, v.tolist(), 0, "k", 1) for i, v in enumerate(wide)]
+    rows += [(100, [1.0, 2.0], 0, "k", 1), (101, [1.0, 2.0], 0, "k", 1), (99, [2.0, 4.1], 0, "k", 1),
+             (102, [-1.0, 2.0], 0, "k", 1), (103, [0.0, 0.0], 0, "k", 1)]
+    found = {r["vec_id"]: tuple(r)[1:] for r in
+             subspace.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(found) == len(rows)
+    assert [found[i] for i in (99, 100, 101, 102, 103)] == [
+        (2, 99, True), (2, 99, False), (2, 99, False), (0, 102, True), (0, 103, True)]
+    assert all(found[i][1] < 30 for i in range(30))
+
+
+def test_registered_vector_queries_over_a_small_table(spark, tmp_path):
+    """The registered queries, with a repeated id and two widths, against all pairs."""
+    from lindero.llm.queries import QUERIES
+    x = vectors(4)[380:480]
+    rows = [(i, v.tolist(), 0, "k", 1) for i, v in enumerate(x)]
+    rows += [(50, x[3].tolist(), 0, "k", 1), (200, [1.0, 2.0], 0, "k", 1), (201, [1.0, 2.1], 0, "k", 1),
+             (202, None, 0, "k", 1)]
+    spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cosine(a, b):
+        a, b = np.float64(np.float32(a)), np.float64(np.float32(b))
+        return float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    good = [r for r in rows if r[1]]
+    near = [[j for j, b in enumerate(good) if j != i and len(a[1]) == len(b[1])]
+            for i, a in enumerate(good)]
+    links = [[j for j in near[i] if cosine(good[i][1], good[j][1]) >= 0.9] for i in range(len(good))]
+    found = QUERIES["op1_subspace"](spark, str(tmp_path)).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in found) == sorted(
+        [(good[i][0], len(links[i])) for i in range(len(good))] + [(202, 0)])
+    by_query = {}
+    for r in QUERIES["op6_neighbours"](spark, str(tmp_path)).collect():
+        by_query.setdefault(r["query_id"], []).append(r["score"])
+    for q, scores in by_query.items():
+        want = [sorted((cosine(good[i][1], good[j][1]) for j in near[i]), reverse=True)[:5]
+                for i in range(len(good)) if good[i][0] == q]
+        assert sorted(scores) == pytest.approx(sorted(s for w in want for s in w), abs=1e-9)
+    assert set(by_query) == {0, 50, 200}
