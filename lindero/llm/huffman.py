@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lindero.llm.common import small_batches
+from lindero.llm.pieces import Pieces
 from lindero.session import fresh_path
 
 END = 0                # id that closes each document
@@ -21,7 +21,8 @@ LONGEST = 18           # bits of a code
 BLOCK = 1 << 16        # ids after which a block is closed
 EVERY = 256            # ids between two checkpoints
 DECODED_AT_ONCE = 16   # blocks
-PIECES = 400_000       # pieces of text a worker remembers with their ids
+PIECES = 300_000       # pieces of text a worker remembers with their ids; two generations are kept
+SHORT = 48             # characters of a piece that is remembered
 
 
 # --- tokens
@@ -30,55 +31,38 @@ class Tokens:
     """The tokenizers library over pieces of text that cannot share a token with their neighbours.
 
     A byte-level tokenizer matches a single space between two other characters together with what
-    follows, so such a space starts a piece. New pieces go to the library many at a time in one
-    text, whose ids are cut where a token starts with a space, and are remembered; a text with
-    other white space next to a space goes to the library as a whole.
+    follows, so such a space starts a piece, whose ids are remembered; a text with other white
+    space next to a space goes to the library as a whole, and so does what comes before the first
+    space. Special strings in a text are read as the library reads them by default.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.library.model._resize_cache(0)        # new pieces only: nothing would be found in it
-        size = self.library.get_vocab_size()
-        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        first = self.library.encode(" ", add_special_tokens=False).tokens[0]
-        self.starts = np.array([(self.library.id_to_token(i) or "").startswith(first)
-                                for i in range(size)])
+        self.ids_of = Pieces(self.library)
+        self.kind = self.ids_of.kind
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        code = "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in found]
-
-    def _learn(self, missing: list[str | None]) -> set[str]:
-        """Remember the ids of pieces; returns those that stand next to other white space."""
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Remember the ids of pieces; those next to other white space get none. Returns the pieces
+        that are too long to be kept."""
         if len(self.pieces) > PIECES:
             self.pieces, self.older = {}, self.pieces
-        known, older = self.pieces, self.older
-        fresh, odd = [], set()
+        fresh = []
         for piece in dict.fromkeys(missing):
-            ids = older.get(piece)
+            ids = self.older.get(piece)
             if ids is not None:
-                known[piece] = ids
+                self.pieces[piece] = ids
             elif not piece or piece[0].isspace() or piece[-1].isspace():
-                odd.add(piece)
+                self.pieces[piece] = b""
             else:
                 fresh.append(piece)
-        if fresh:
-            raw = b"".join(self._ids([
-                " " + " ".join(fresh[i:i + 64]) for i in range(0, len(fresh), 64)]))
-            every = np.frombuffer(raw, self.kind)
-            cuts = np.append(np.flatnonzero(self.starts[every]), len(every))
-            if len(cuts) != len(fresh) + 1:
-                raise ValueError("the tokenizer does not start a token at each space")
-            edges = (cuts * self.kind.itemsize).tolist()
-            known.update(zip(fresh, map(raw.__getitem__, map(slice, edges, edges[1:]))))
-        return odd
+        self.pieces.update(zip(fresh, self.ids_of.ids(fresh)))
+        return [piece for piece in fresh if len(piece) > SHORT]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text; null and empty texts have none."""
         out: list[bytes] = []
         for at in range(0, len(texts), 32):  # few enough for their pieces to stay in the cache
             out += self._encode(texts[at:at + 32])
@@ -89,21 +73,23 @@ class Tokens:
         heads = [s.pop(0) for s in split]
         get = self.pieces.get
         found = [list(map(get, s)) for s in split]
-        # positions of new pieces: all() is the cheap test, as no piece has empty ids
-        late = [(i, [k for k, x in enumerate(ids) if x is None])
+        # all() is the cheap test: neither a new piece nor one that is no sure cut has any ids
+        late = [(i, [k for k, x in enumerate(ids) if not x])
                 for i, ids in enumerate(found) if not all(ids)]
-        odd = self._learn([split[i][k] for i, holes in late for k in holes])
+        long = self._learn([split[i][k] for i, holes in late for k in holes])
         get = self.pieces.get
         for i, holes in late:
             ids, pieces = found[i], split[i]
             for k in holes:
                 ids[k] = get(pieces[k])
-            if odd and None in ids:
+            if not all(map(ids.__getitem__, holes)):
                 heads[i], found[i] = texts[i], []
         for i, s in enumerate(split):
             if s and (not heads[i] or heads[i][-1].isspace()):
                 heads[i], found[i] = texts[i], []
-        return [head + b"".join(ids) for head, ids in zip(self._ids(heads), found)]
+        for piece in long:
+            self.pieces.pop(piece, None)
+        return [head + b"".join(ids) for head, ids in zip(self.ids_of.whole(heads), found)]
 
 
 @lru_cache(maxsize=2)

@@ -20,9 +20,9 @@ SIZE = 8               # of a byte's vector
 SAMPLE = 6000          # documents the network learns from, at most
 CROPS = 3              # stretches taken from each of them
 CHUNK = 128            # windows worked on at once
-SURE = 0.9             # probability from which a window has one language
+SURE = 0.9             # probability from which a window of a longer text has one language
+ENOUGH = 2 * LENGTH    # letter bytes of a longer text
 SHARE = 0.25           # of a text's letters in such windows, from which it has languages
-LEAST = 4 * LENGTH     # letter bytes below which a share says too little
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 # ASCII letters count as small ones.
@@ -81,9 +81,11 @@ class Network:
     def recognised(self, texts: list[str | None]) -> list[bool]:
         """Whether each text has any language, one or several.
 
-        It has none without a letter, or when less than SHARE of its letter bytes lie in windows whose
-        best name has a probability of SURE. With fewer than LEAST letter bytes, or when nothing was
-        learned, there is nothing to judge by and a text with a letter passes.
+        It has none without a letter, or when less than SHARE of its letter bytes lie in sure
+        windows. A window is sure when its best name has a probability of SURE; the fewer letter
+        bytes than ENOUGH the text has, the less they can tell, and the bound falls in proportion
+        to the probability of a guess. So texts of every length are judged by the network. Where
+        nothing was learned a text with a letter passes.
         """
         found = [bool(t and LETTER.search(t)) for t in texts]
         known = [i for i, f in enumerate(found) if f] if self.names else []
@@ -91,10 +93,13 @@ class Network:
             return found
         windows, first, _ = cut([texts[i] for i in known])
         letters = LETTERS[windows].sum(axis=1)
-        sure = letters * (self.probabilities(windows).max(axis=1) >= SURE)
-        total, part = np.add.reduceat(letters, first), np.add.reduceat(sure, first)
-        for i, all_of, sure_of in zip(known, total, part):
-            found[i] = bool(all_of < LEAST or sure_of >= SHARE * all_of)
+        total = np.add.reduceat(letters, first)
+        guess = 1.0 / len(self.names)
+        bound = guess + (SURE - guess) * np.minimum(1.0, total / ENOUGH)
+        best = self.probabilities(windows).max(axis=1)
+        sure = letters * (best >= np.repeat(bound, np.diff(np.append(first, len(windows)))))
+        for i, all_of, sure_of in zip(known, total, np.add.reduceat(sure, first)):
+            found[i] = bool(sure_of >= SHARE * all_of)
         return found
 
 

@@ -1,0 +1,84 @@
+"""Ids of pieces of text by a byte-level tokenizer of the tokenizers library, with a bounded memory."""
+
+from __future__ import annotations
+
+from array import array
+
+import numpy as np
+import public_tokenizers
+import regex
+
+WORDS = 400_000        # words remembered with their ids; two generations are kept
+# Letters, digits and white space below this character are the same in every edition of Unicode.
+PLAIN = "ɐ"
+
+
+class Pieces:
+    """The library's ids of pieces that stand behind a space.
+
+    The library cuts a text into words by a pattern and merges the bytes of each word, so a piece's
+    ids are those of its words. Words are cut here and go to the library's model one by one, once.
+    Where a character's kind depends on the edition of Unicode, or a special string occurs, pieces
+    go to the library as they are.
+    """
+
+    def __init__(self, library):
+        self.library = library
+        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        wide = library.get_vocab_size() > 1 << 16
+        self.kind, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # how the library writes each byte: as one character, by its own tokens of one byte
+        own = sorted(set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256)))
+        rest = [b for b in range(256) if b not in set(own)]
+        self.written = {b: chr(256 + i) for i, b in enumerate(rest)}
+        vocabulary = library.get_vocab()
+        if any(self.written.get(b, chr(b)) not in vocabulary for b in range(256)):
+            raise ValueError("not a byte-level tokenizer")
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts by the library alone."""
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii() and word.isprintable():
+                written = word.replace(" ", self.written[32])
+            else:
+                written = word.encode("utf-8").decode("latin-1").translate(self.written)
+            ids = array(self.code, [t.id for t in self.library.model.tokenize(written)]).tobytes()
+        if len(self.words) >= WORDS:
+            self.words, self.older = {}, self.words
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """For each piece the ids of a space and the piece; no piece is empty, holds a space or has
+        white space at its ends."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 64):
+            group = pieces[at:at + 64]
+            joined = " " + " ".join(group)
+            if max(joined) >= PLAIN or any(s in joined for s in self.special):
+                out += self.whole([" " + piece for piece in group])
+                continue
+            own: list[bytes] = []
+            get = self.words.get
+            for word in self.cut(joined):
+                ids = get(word)
+                if ids is None:
+                    ids = self._word(word)
+                    get = self.words.get
+                if word[0] == " ":
+                    own.append(ids)
+                else:
+                    own[-1] += ids
+            if len(own) != len(group):
+                raise ValueError("a piece with white space at its ends")
+            out += own
+        return out
