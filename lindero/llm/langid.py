@@ -172,33 +172,38 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 5) ->
     return net
 
 
-def learn(docs: DataFrame, allowed, sample: int = SAMPLE) -> Network:
-    """Fit on a bounded sample: about sample / languages documents of each language.
+def draw(docs: DataFrame, allowed, sample: int = SAMPLE) -> list[tuple[str, str]]:
+    """(lang, stretch) to learn from: about sample / languages documents of each language.
 
     `allowed` is a condition on the documents that may be learned from. The driver receives the
     number of documents by language and at most `sample` * CROPS stretches of LENGTH characters,
-    taken at hashed places of the sampled texts.
+    taken at hashed places of the sampled texts. A surplus is cut from all languages alike.
     """
-    own = docs.filter(allowed & F.col("lang").isNotNull()
-                      & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    own = docs.filter(allowed & F.col("lang").isNotNull()).withColumn(
+        "has", F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).filter("has")
     counts = {r["lang"]: r["n"] for r in
-              docs.filter(allowed & F.col("lang").isNotNull()).groupBy("lang")
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
+              own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return fit([], [])
+        return []
     each = sample / len(counts)
     rates = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, each / n)])
-    chance = unit_hash(F.col("doc_id"), F.lit("langid"))
-    drawn = own.filter(chance < F.element_at(rates, F.col("lang"))).select(
-        "lang", F.explode(F.transform(
+    # the hash as a share of the language's rate: below 1 in the sample
+    turn = unit_hash(F.col("doc_id"), F.lit("langid")) / F.element_at(rates, F.col("lang"))
+    drawn = own.withColumn("turn", turn).filter("turn < 1").select(
+        "lang", "turn", F.explode(F.transform(
             F.sequence(F.lit(1), F.lit(CROPS)),
             lambda k: F.substr(
                 F.col("text"),
                 (unit_hash(F.col("doc_id"), k)
                  * F.greatest(F.lit(1), F.length("text") - F.lit(LENGTH))).cast("int") + 1,
-                F.lit(LENGTH)))).alias("crop"), chance.alias("chance"))
-    rows = sorted((r["lang"], r["crop"]) for r in
-                  drawn.orderBy("chance", "crop").limit(sample * CROPS).collect())
+                F.lit(LENGTH)))).alias("crop"))
+    return sorted((r["lang"], r["crop"]) for r in
+                  drawn.orderBy("turn", "crop").limit(sample * CROPS).collect())
+
+
+def learn(docs: DataFrame, allowed, sample: int = SAMPLE) -> Network:
+    """The network of the bounded sample of `draw`; nothing to learn from: one without names."""
+    rows = draw(docs, allowed, sample)
     return fit([r[1] for r in rows], [r[0] for r in rows])
 
 
@@ -227,7 +232,11 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, network: Network) -> DataFrame:
-    """Rows whose text has any language by `Network.recognised`. Narrow: no shuffle."""
+    """Rows whose text has any language by `Network.recognised`. Narrow: no shuffle.
+
+    Null and empty texts, and others without a letter, go; equal rows are kept or rejected alike. All
+    columns are kept whatever their names. An empty table gives an empty table.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):

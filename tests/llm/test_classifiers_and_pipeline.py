@@ -132,7 +132,8 @@ def test_pipeline_stage_by_stage(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in seen["quality"]}
     assert all(i in kept for i, q in labels.items() if q == 1)
-    assert {r["doc_id"] for r in seen["language"]} == kept
+    passed = {r["doc_id"] for r in seen["language"]}
+    assert passed <= kept and len(kept - passed) <= 0.01 * len(kept)
     assert len({r["doc_id"] for r in seen["near_duplicates"]}) == n["near_duplicates"]
     assert {r["doc_id"] for r in seen["mixing"]} <= {r["doc_id"] for r in seen["near_duplicates"]}
     assert sorted(r["doc_id"] for r in seen["tokens"]) == sorted(r["doc_id"] for r in seen["mixing"])
@@ -146,7 +147,16 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
         str(tmp_path / "labels.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in found} <= {3} and len(found) <= 3
+    # One of the two copies is left, and its source, the only one, makes up the whole mix.
+    assert [r["doc_id"] for r in found] == [3]
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_language_stage_rejects_letters_without_a_language(spark):
@@ -165,3 +175,51 @@ def test_language_stage_rejects_letters_without_a_language(spark):
     # Nothing to learn from: texts with a letter stay.
     alone = corpus_pipeline.keep_known_language(spark, odd, SF).collect()
     assert {r["doc_id"] for r in alone} == set(range(-24, 0))
+
+
+def plain_probabilities(net, text):
+    """Convolution, pooling and softmax of one window, number by number."""
+    data = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    data = (data + [32] * langid.LENGTH)[:langid.LENGTH]
+    widest, pooled = max(langid.WIDTHS), []
+    for f in range(net.filters.shape[1]):
+        best = -1e30
+        for at in range(langid.LENGTH - widest + 1):
+            best = max(best, sum(float(net.vectors[data[at + w], s]) * float(
+                net.filters[w * langid.SIZE + s, f]) for w in range(widest) for s in range(langid.SIZE)))
+        pooled.append(max(0.0, best + float(net.bias[f])))
+    out = [sum(p * float(net.dense[f, c]) for f, p in enumerate(pooled)) + float(net.offset[c])
+           for c in range(len(net.names))]
+    out = [np.exp(o - max(out)) for o in out]
+    return [o / sum(out) for o in out]
+
+
+def test_network_against_plain_loops():
+    net = langid.fit(["the cat and the dog", "der Hund und die Katze"] * 20, ["en", "de"] * 20, rounds=2)
+    for text in ("the HOUSE", "die Straße ist lang", "x"):
+        windows, _, _ = langid.cut([text])
+        assert net.probabilities(windows)[0].tolist() == pytest.approx(
+            plain_probabilities(net, text), abs=1e-4)
+
+
+def test_surplus_is_cut_from_all_languages_alike(spark):
+    rows = [(i, f"word {i} " * 3, f"l{i % 119}") for i in range(11900)]
+    rows += [(20000 + i, f"rare {i} " * 3, "rare") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid.draw(docs, F.lit(True), sample=6000)
+    n = [sum(1 for r in drawn if r[0] == x) for x in {r[0] for r in drawn}]
+    rare = sum(1 for r in drawn if r[0] == "rare")
+    assert len(n) == 120 and len(drawn) <= 6000 * langid.CROPS
+    assert rare > 0.8 * np.mean(n)
+
+
+def test_short_texts_are_judged_by_the_network(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    net = langid.learn(given, F.lit(True), sample=1200)
+    pick = random.Random(4)
+    real = [r["text"][:n] for r in given.filter("length(text) > 400").limit(60).collect()
+            for n in (40, 120, 250)]
+    noise = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=250)) for _ in range(100)]
+    assert sum(net.recognised(real)) >= 0.97 * len(real)
+    assert sum(net.recognised(noise)) <= 50
+    assert net.recognised(["Re.", "12", "", None]) == [True, False, False, False]

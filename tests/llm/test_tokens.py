@@ -166,8 +166,7 @@ def test_blocks_round_trip():
 def test_huffman_jobs(spark):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    texts = odd_texts()[:80] + [None, None, "a b", "a b"]
+    texts = odd_texts()[:80] + [None, None, "a b", "a b", "a <|endoftext|> b", "<|endoftext|>x <|end"]
     rows = [(i, t, "x", 1, 2, "y") for i, t in enumerate(texts)] + [(3, "same id", "x", 1, 2, "y")]
     docs = spark.createDataFrame(rows, TEXT).repartition(3)
     found = huffman.round_trip(docs, JSON).orderBy("start").collect()
@@ -188,7 +187,6 @@ def test_op8_query_against_library(spark):
     from tokenizers import Tokenizer
     from lindero.llm.queries import QUERIES
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     found = {r["doc_id"]: r for r in QUERIES["op8_huffman"](spark, sf).collect()}
