@@ -20,8 +20,8 @@ END = 0                # id that closes each document
 LONGEST = 18           # bits of a code
 BLOCK = 1 << 16        # ids after which a block is closed
 EVERY = 256            # ids between two checkpoints
-DECODED_AT_ONCE = 16   # blocks
-PIECES = 300_000       # pieces of text a worker remembers with their ids; two generations are kept
+DECODED_AT_ONCE = 8    # blocks
+PIECES = 120_000       # pieces of text a worker remembers with their ids; two generations are kept
 SHORT = 48             # characters of a piece that is remembered
 
 

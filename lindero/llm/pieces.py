@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-WORDS = 400_000        # words remembered with their ids; two generations are kept
+WORDS = 100_000        # words remembered with their ids; two generations are kept
 # Letters, digits and white space below this character are the same in every edition of Unicode.
 PLAIN = "ɐ"
 

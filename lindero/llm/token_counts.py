@@ -18,7 +18,7 @@ from lindero.session import settle
 CHUNK = 1 << 14        # characters of a chunk; texts of more than two chunks count as huge
 OVERLAP = 1 << 9       # characters a chunk shares with the next one
 WIDER = 4              # times the lengths grow when two chunks do not agree
-PIECES = 400_000       # pieces of text a worker remembers with their counts
+PIECES = 120_000       # pieces of text a worker remembers with their counts
 UNSURE = -1 << 60      # less than any number of tokens makes up for
 GROUP = 64             # texts whose new pieces are learned together
 SHORT = 48             # characters of a piece that is remembered
