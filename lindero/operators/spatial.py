@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lindero.functions import geometry as G
 from lindero.operators.skew import FLOOR_ROWS, SHARE, salted_join
+from lindero.session import settle
 
 BASE_M = 64.0
 TOP_LEVEL = 24
@@ -47,20 +48,24 @@ def _filed(df: DataFrame, box: str, other_levels: Column, base: float) -> DataFr
 
 def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str,
              left_id: str, touching: bool = True, base: float = BASE_M,
-             share: int = SHARE, floor_rows: int = FLOOR_ROWS) -> DataFrame:
+             share: int = SHARE, floor_rows: int = FLOOR_ROWS,
+             left_level: int | None = None) -> DataFrame:
     """All pairs whose boxes meet, each exactly once. Boxes are struct(x0, y0, x1, y1).
 
     With `touching` false, boxes that only share an edge do not count. Rows with a null box never
-    match. Column names of the two sides must differ.
+    match. Column names of the two sides must differ. Both sides are written once with the level of
+    each box: levels, hot cells and pairs are read from there, so whatever made the two inputs runs
+    once. `left_level` tells the level of all left boxes where it is known, as of points.
     """
-    a = left.filter(F.col(left_box)["x0"].isNotNull()).withColumn(
-        "_own", box_level(F.col(left_box), base))
-    b = right.filter(F.col(right_box)["x0"].isNotNull()).withColumn(
-        "_own", box_level(F.col(right_box), base))
+    a = settle(left.filter(F.col(left_box)["x0"].isNotNull()).withColumn(
+        "_own", box_level(F.col(left_box), base)), "left")
+    b = settle(right.filter(F.col(right_box)["x0"].isNotNull()).withColumn(
+        "_own", box_level(F.col(right_box), base)), "right")
+    left_levels = _levels_used(a.select("_own")) if left_level is None else F.array(
+        F.lit(left_level))
     filed_a = _filed(a, left_box, _levels_used(b.select("_own")), base) \
         .withColumnRenamed("_own", "_own_a")
-    filed_b = _filed(b, right_box, _levels_used(a.select("_own")), base) \
-        .withColumnRenamed("_own", "_own_b")
+    filed_b = _filed(b, right_box, left_levels, base).withColumnRenamed("_own", "_own_b")
     pairs = salted_join(
         filed_a, filed_b, ["_level", "_cx", "_cy"], [left_id], "inner", share, floor_rows,
         deal_right=True)
@@ -100,6 +105,7 @@ def points_in_zones(points: DataFrame, zones: DataFrame, point_id: str, guard: s
     boxed = zones.withColumns({
         "_zbox": G.rings_bbox(F.col("rings")), "_prep": G.prepared_rings(F.col("rings"))
     }).drop("rings")
-    pairs = box_join(located, boxed, "_pbox", "_zbox", point_id, True, base, share, floor_rows)
+    pairs = box_join(located, boxed, "_pbox", "_zbox", point_id, True, base, share, floor_rows,
+                     left_level=0)
     inside = G.in_any_ring(F.col("x"), F.col("y"), F.col("_prep"), guard)
     return pairs.filter(inside).drop("_pbox", "_zbox", "_prep")

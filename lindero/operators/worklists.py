@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lindero.functions import keys
 from lindero.operators.skew import running_total
 from lindero.operators.spatial import box_join
+from lindero.registry import town_keys
+from lindero.session import settle
 
 # ---- covering grids -------------------------------------------------------------------------
 
@@ -61,8 +63,8 @@ UNIT_SUFFIX = "0001AA"
 def eligible(points: DataFrame, sheets: DataFrame, zone_mark: str | None = None) -> DataFrame:
     """Points with a valid key, a valid grid row and a sheet for their quadrant.
 
-    Needs rc14, row and sheet_name (`grid_columns`). With `zone_mark`, keys must have it at
-    characters 8 to 10.
+    Needs rc14, row and sheet_name (`grid_columns`), and id_ine where the sheets are those of several
+    municipalities. With `zone_mark`, keys must have it at characters 8 to 10.
     """
     rc = F.col("rc14")
     out = points.filter(F.col("row").between(0, 24))
@@ -70,7 +72,8 @@ def eligible(points: DataFrame, sheets: DataFrame, zone_mark: str | None = None)
         out = out.filter((F.length(rc) == 14) & (F.substring(rc, 8, 3) == zone_mark))
     else:
         out = out.filter(keys.key_error(F.concat(rc, F.lit(UNIT_SUFFIX))).isNull())
-    return out.join(sheets.select("sheet_name"), "sheet_name", "left_semi")
+    own = [*town_keys(points, sheets), "sheet_name"]
+    return out.join(sheets.select(*own), own, "left_semi")
 
 
 # ---- sampling -------------------------------------------------------------------------------
@@ -186,7 +189,9 @@ def tile_cover(requests: DataFrame, tiles: DataFrame, request_id: str, **opts) -
     boxed = tiles.withColumn("_tbox", F.struct(
         F.col("x1").cast("double").alias("x0"), F.col("y1").cast("double").alias("y0"),
         F.col("x2").cast("double").alias("x1"), F.col("y2").cast("double").alias("y1")))
-    hits = box_join(requests, boxed, "box", "_tbox", request_id, touching=False, **opts)
+    # Read for the rectangles and again for the tiles of the chosen resolution.
+    hits = settle(box_join(requests, boxed, "box", "_tbox", request_id, touching=False, **opts),
+                  "tiles")
     b = F.col("box")
     union = hits.groupBy(request_id, "mpp").agg(
         F.min("x1").alias("ux0"), F.min("y1").alias("uy0"), F.max("x2").alias("ux1"),

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lindero.functions import geometry as G
-from lindero.operators.skew import first_per_key, last_per_key
+from lindero.operators.skew import first_per_key, last_per_key, salted_join
 from lindero.operators.spatial import box_join, point_box, points_in_zones
+from lindero.session import settle
 
 # Layers in order of inquiry, heritage layers, and the property names read from them.
 LAYERS = (
@@ -117,8 +118,9 @@ def features_at(points: DataFrame, features: DataFrame, point_id: str, reach: fl
     order = Window.partitionBy(point_id, "layer").orderBy("ord")
     first = own.withColumn("_n", F.row_number().over(order)).filter(
         F.col("_n") <= PER_LAYER).drop("_n")
-    # Only keys are ranked; the properties join the few rows that are left.
-    return first.join(features.drop("rings"), list(slim))
+    # Only keys are ranked; the properties join the few rows that are left. A feature that covers a
+    # whole town has a row for every point there, so its rows are split.
+    return salted_join(settle(first, "ranked"), features.drop("rings"), list(slim), [point_id])
 
 
 def heritage_near(points: DataFrame, features: DataFrame, point_id: str, **opts) -> DataFrame:

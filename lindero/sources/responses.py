@@ -1,7 +1,8 @@
 """Parsing of landed responses. Each takes a DataFrame with the whole response in `body`.
 
 Responses are bounded by the services' paging, so one response per row is safe; `read_texts` loads
-them from a folder.
+them from a folder. Files of any size, as of a whole town's placemarks or parcels, are read element
+by element with `read_elements`, whose rows suit the same parsers.
 """
 
 from __future__ import annotations
@@ -22,6 +23,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
 
 
+def read_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(file, at, body): one row per element of the name in the files below `path`.
+
+    The closing tag ends a record, so Spark splits a large file between elements and many tasks read
+    it; `at` orders the elements of a file. What stands between elements is left out. Elements of
+    one name must not hold each other.
+    """
+    closing = f"</{tag}>"
+    rows = spark.read.option("lineSep", closing).text(path).select(
+        F.col("_metadata.file_name").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    start = F.locate(f"<{tag}", F.col("value"))
+    return rows.filter(start > 0).select(
+        "file", "at", F.concat(F.substr("value", start), F.lit(closing)).alias("body"))
+
+
 def _group(body: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, null when there is no match."""
     return F.when(body.rlike(pattern), F.regexp_extract(body, pattern, group))

@@ -459,7 +459,9 @@ def _(spark, sf):
         "doc_id", text.plan_scale(F.concat("text", tail)).alias("scale"))
 
 
-UTM = """
+def utm_sql(rows: str) -> str:
+    """Ground metres of rows (k, lon, lat)."""
+    return """
 SELECT k, round_even(500000.0::DOUBLE + 0.9996::DOUBLE * rad * (eta + a1 * cos(2 * xi) * sinh(2 * eta)
     + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 2) AS x,
   round_even(0.9996::DOUBLE * rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta)
@@ -471,9 +473,11 @@ FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS e
    13 * n * n / 48 - 3 * n * n * n / 5 + 557 * n * n * n * n / 1440 AS a2,
    61 * n * n * n / 240 - 103 * n * n * n * n / 140 AS a3,
    6378137.0::DOUBLE / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS rad, 2 * sqrt(n) / (1 + n) AS ecc
-  FROM (SELECT k, -6.0::DOUBLE + (k * 7919 % 400000) / 100000.0::DOUBLE AS lon,
-     43.0::DOUBLE + (k * 104729 % 90000) / 100000.0::DOUBLE AS lat, f / (2 - f) AS n
-   FROM keyed, (SELECT 1 / 298.257222101::DOUBLE AS f)))))"""
+  FROM (SELECT k, lon, lat, f / (2 - f) AS n FROM """ + rows + """, (SELECT 1 / 298.257222101::DOUBLE AS f)))))"""
+
+
+UTM = utm_sql("""(SELECT k, -6.0::DOUBLE + (k * 7919 % 400000) / 100000.0::DOUBLE AS lon,
+     43.0::DOUBLE + (k * 104729 % 90000) / 100000.0::DOUBLE AS lat FROM keyed)""")
 
 
 @add("sf14_lonlat_to_utm", with_sql(UTM, "keyed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lindero.functions import grid, keys
@@ -334,3 +336,70 @@ def _(spark, sf):
         "k", "reason", F.when(ok, F.col("sheet_name")).alias("sheet_name"),
         F.when(ok, F.array_join("warnings", "|")).alias("warnings"), "cal_dx", "cal_dy",
         "reliability", "residual_m")
+
+
+# ---- two gridded municipalities -------------------------------------------------------------
+
+# A second town with the same grid 100 km to the east: every other key lies there, and sheets, cells
+# and quadrants have the same names in both.
+SHIFT = 100_000.0
+AWAY = replace(D.HOME, id_ine=2, slug="away", xmin=D.HOME.xmin + SHIFT, xmax=D.HOME.xmax + SHIFT,
+               x0=D.HOME.x0 + SHIFT, snu_x0=D.HOME.snu_x0 + SHIFT)
+TOWNS = (D.HOME, AWAY)
+
+D.define("two_sheets", """
+SELECT 33044 AS id_ine, sheet_name, url FROM sheets
+UNION ALL SELECT 2, sheet_name, 'https://away.example/' || sheet_name FROM sheets WHERE length(sheet_name) % 2 = 0""", "sheets")
+D.define("two_calib", """
+SELECT 33044 AS id_ine, * FROM calib
+UNION ALL SELECT 2, * REPLACE (dx + 3 AS dx, n + 1 AS n) FROM calib WHERE level <> 'cell'""", "calib")
+D.define("two_places", """
+SELECT p.*, CASE WHEN x BETWEEN 253000 AND 278000 AND y BETWEEN 4798000 AND 4815000
+  THEN CASE WHEN k % 2 = 1 THEN 2 ELSE 33044 END END AS town FROM placed p""", "placed")
+
+
+def two_points(spark, sf):
+    return D.points(spark, sf).withColumn(
+        "x", F.when(F.col("k") % 2 == 1, F.col("x") + SHIFT).otherwise(F.col("x")))
+
+
+def two_sheets(spark, sf):
+    s = D.sheets(spark, sf)
+    away = s.filter(F.length("sheet_name") % 2 == 0).select(
+        F.lit(2).alias("id_ine"), "sheet_name",
+        F.concat(F.lit("https://away.example/"), "sheet_name").alias("url"))
+    return s.select(F.lit(D.HOME.id_ine).alias("id_ine"), "sheet_name", "url").unionByName(away)
+
+
+@add("loc_two_towns", with_sql("""
+SELECT k, coalesce(town, 33044) AS id_ine, reason, CASE WHEN reason IS NULL THEN sheet_name END AS sheet_name,
+  CASE WHEN reason IS NULL THEN url END AS sheet_url, CASE WHEN reason IS NULL THEN round_even(odx, 0)::INT END AS cal_dx,
+  CASE WHEN reason IS NULL THEN n_labels END AS n_labels
+FROM (SELECT t.*, s.url, CASE WHEN town IS NULL THEN 'out_of_extent' WHEN letter IS NULL THEN 'row_out_of_range' WHEN s.url IS NULL THEN 'no_sheet' END AS reason,
+        coalesce(q.dx, c.dx, g.dx) AS odx, coalesce(q.n, 0) AS n_labels
+      FROM two_places t LEFT JOIN two_sheets s ON s.id_ine = t.town AND s.sheet_name = t.sheet_name
+      LEFT JOIN two_calib q ON q.level = 'quadrant' AND q.id_ine = t.town AND q.key = t.cell || '-' || t.sub
+      LEFT JOIN two_calib c ON c.level = 'cell' AND c.id_ine = t.town AND c.key = t.cell
+      LEFT JOIN two_calib g ON g.level = 'global' AND g.id_ine = t.town)""", "two_places", "two_sheets", "two_calib"))
+def _(spark, sf):
+    c = D.calib(spark, sf)
+    away = c.filter(F.col("level") != "cell").withColumns({"dx": F.col("dx") + 3, "n": F.col("n") + 1})
+    calib = c.withColumn("id_ine", F.lit(D.HOME.id_ine)).unionByName(
+        away.withColumn("id_ine", F.lit(2)))
+    coords = two_points(spark, sf).select("rc14", "x", "y", F.lit("").alias("address"))
+    out = P.locate_with_quality(
+        D.keyed(spark, sf).select("k", F.col("rc14").alias("raw")), coords, two_sheets(spark, sf),
+        calib, TOWNS)
+    ok = F.col("reason").isNull()
+    return out.select("k", "id_ine", "reason", *[F.when(ok, F.col(n)).alias(n) for n in (
+        "sheet_name", "sheet_url", "cal_dx", "n_labels")])
+
+
+@add("prj18_two_towns", with_sql("""
+SELECT k, town AS id_ine FROM two_places JOIN two_sheets s USING (sheet_name) WHERE s.id_ine = town""", "two_places", "two_sheets"))
+def _(spark, sf):
+    from lindero.operators import worklists as W
+    placed = L.grid_columns(
+        L.route(two_points(spark, sf), TOWNS).filter(F.col("id_ine").isNotNull()),
+        lookup_struct(F.col("id_ine"), TOWNS))
+    return W.eligible(placed, two_sheets(spark, sf)).select("k", "id_ine")

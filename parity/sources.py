@@ -21,7 +21,7 @@ from parity import derived as D
 from parity.base import add, table
 from parity.calibration import matches
 from parity.derived import with_sql
-from parity.geometry import features, heritage
+from parity.geometry import features, heritage, utm_sql
 from parity.linkage import cards, link_pairs_sql, links_sql
 from parity.location import quality_sql, rural_sheets, warned_sql
 
@@ -81,6 +81,23 @@ def _(spark, sf):
     return flat(R.parse_parcels(gml_pages(spark, sf)).select("refcat", "label", "area_m2", "poly"))
 
 
+def landed(spark, bodies, name):
+    """The bodies written as text files of the shared folder; returns the folder."""
+    path = fresh_path(spark, name)
+    bodies.select("body").write.text(path)
+    return path
+
+
+@add("src1_split_files", with_sql("""
+SELECT refcat, label, area_m2, ox AS x1, oy AS y1, ox + w / 2 AS x4, oy + h / 2 AS y4, ox AS x7, oy AS y7 FROM parcels WHERE ck % 9 <> 0 AND ck % 8 <> 0""", "parcels"))
+def _(spark, sf):
+    path = landed(spark, gml_pages(spark, sf), "parcels")
+    ring = F.col("poly")
+    p = R.parse_parcels(R.read_elements(spark, path, "cp:CadastralParcel"))
+    return p.select("refcat", "label", "area_m2", *[
+        ring[i - 1][c].alias(f"{c}{i}") for i in (1, 4, 7) for c in ("x", "y")])
+
+
 @add("src2_single_parcel", with_sql("""
 SELECT refcat, nullif(label, '') AS label, area_m2, 7 AS n, ox + w AS x2, oy + h AS y4 FROM parcels WHERE ck % 8 <> 0""", "parcels"))
 def _(spark, sf):
@@ -280,6 +297,25 @@ def _(spark, sf):
                     F.size(F.col("rings")[0]).alias("n_points"))
 
 
+D.define("kml_points", utm_sql("""(SELECT zk * 3 + i AS k,
+  round(-6.0::DOUBLE + (zk * 13 % 90000) / 100000.0::DOUBLE + CASE WHEN i > 0 THEN 0.01::DOUBLE ELSE 0 END, 5) AS lon,
+  round(43.2::DOUBLE + (zk * 17 % 30000) / 100000.0::DOUBLE + CASE WHEN i > 1 THEN 0.01::DOUBLE ELSE 0 END, 5) AS lat
+  FROM zone_base, range(3) t(i) WHERE tier = 1)"""), "zone_base")
+
+
+@add("src6_split_files", with_sql("""
+SELECT 'APP-' || zk::VARCHAR || ' B' AS id, CASE WHEN zk % 3 = 0 THEN 'AP_' || zk::VARCHAR ELSE 'APP-' || zk::VARCHAR || '_B' END AS ficha_id,
+  CASE WHEN zk % 4 = 0 THEN 2 ELSE 1 END AS n_rings, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3
+FROM zone_base JOIN kml_points a ON a.k = zk * 3 JOIN kml_points b ON b.k = zk * 3 + 1 JOIN kml_points c ON c.k = zk * 3 + 2
+WHERE tier = 1 AND zk % 6 <> 0""", "zone_base", "kml_points"))
+def _(spark, sf):
+    path = landed(spark, kml_files(spark, sf), "placemarks")
+    z = R.parse_zones(R.read_elements(spark, path, "Placemark"), "https://cards.example/ficha.php?id=")
+    last = F.element_at("rings", -1)
+    return z.select("id", "ficha_id", F.size("rings").alias("n_rings"), *[
+        last[i - 1][c].alias(f"{c}{i}") for i in (1, 2, 3) for c in ("x", "y")])
+
+
 # ---- listings: the given pages with links added ------------------------------------------------
 
 def linked_pages(spark, sf, links):

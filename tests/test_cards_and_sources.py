@@ -250,3 +250,24 @@ def test_a_file_without_a_head_is_never_ok(spark):
                                   "name string, bytes long, head binary")
     got = {r["name"]: r["status"] for r in FI.integrity(expected, files).collect()}
     assert got == {"a": "unread", "b": "ok", "c": "missing"}
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    from lindero.sources import responses as R
+    marks = [f"<Placemark>\n<name>Z{i} á</name>\n<description>d</description><Polygon><coordinates>\n"
+             f"-5.{i:05d},43.5,0 -5.1,43.6,0 -5.2,43.{i:05d},0\n</coordinates></Polygon>\n</Placemark>"
+             for i in range(20000)]
+    body = "<?xml?><kml><Document>" + "\n".join(marks) + "</Document></kml>"
+    (tmp_path / "town.kml").write_text(body, encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(200_000))
+    try:
+        rows = R.read_elements(spark, str(tmp_path), "Placemark")
+        assert rows.rdd.getNumPartitions() > 8
+        split = R.parse_zones(rows, "u").select("id", "rings", "file").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    whole = R.parse_zones(R.read_texts(spark, str(tmp_path)), "u").select("id", "rings", "file").collect()
+    assert len(split) == 20000 and sorted(map(repr, split)) == sorted(map(repr, whole))
+    order = [r["body"].split("<name>")[1].split(" ")[0] for r in rows.orderBy("file", "at").collect()]
+    assert order == [f"Z{i}" for i in range(20000)]
