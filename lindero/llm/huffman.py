@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lindero.llm.common import small_batches
-from lindero.llm.pieces import Pieces
+from lindero.llm.words import Words
 from lindero.session import fresh_path
 
 END = 0                # id that closes each document
@@ -21,81 +21,16 @@ LONGEST = 18           # bits of a code
 BLOCK = 1 << 16        # ids after which a block is closed
 EVERY = 256            # ids between two checkpoints
 DECODED_AT_ONCE = 8    # blocks
-PIECES = 120_000       # pieces of text a worker remembers with their ids; two generations are kept
-SHORT = 48             # characters of a piece that is remembered
 
 
 # --- tokens
 
-class Tokens:
-    """The tokenizers library over pieces of text that cannot share a token with their neighbours.
-
-    A byte-level tokenizer matches a single space between two other characters together with what
-    follows, so such a space starts a piece, whose ids are remembered; a text with other white
-    space next to a space goes to the library as a whole, and so does what comes before the first
-    space. Special strings in a text are read as the library reads them by default.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.ids_of = Pieces(self.library)
-        self.kind = self.ids_of.kind
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> list[str]:
-        """Remember the ids of pieces; those next to other white space get none. Returns the pieces
-        that are too long to be kept."""
-        if len(self.pieces) > PIECES:
-            self.pieces, self.older = {}, self.pieces
-        fresh = []
-        for piece in dict.fromkeys(missing):
-            ids = self.older.get(piece)
-            if ids is not None:
-                self.pieces[piece] = ids
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                self.pieces[piece] = b""
-            else:
-                fresh.append(piece)
-        self.pieces.update(zip(fresh, self.ids_of.ids(fresh)))
-        return [piece for piece in fresh if len(piece) > SHORT]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text; null and empty texts have none."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 32):  # few enough for their pieces to stay in the cache
-            out += self._encode(texts[at:at + 32])
-        return out
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        get = self.pieces.get
-        found = [list(map(get, s)) for s in split]
-        # all() is the cheap test: neither a new piece nor one that is no sure cut has any ids
-        late = [(i, [k for k, x in enumerate(ids) if not x])
-                for i, ids in enumerate(found) if not all(ids)]
-        long = self._learn([split[i][k] for i, holes in late for k in holes])
-        get = self.pieces.get
-        for i, holes in late:
-            ids, pieces = found[i], split[i]
-            for k in holes:
-                ids[k] = get(pieces[k])
-            if not all(map(ids.__getitem__, holes)):
-                heads[i], found[i] = texts[i], []
-        for i, s in enumerate(split):
-            if s and (not heads[i] or heads[i][-1].isspace()):
-                heads[i], found[i] = texts[i], []
-        for piece in long:
-            self.pieces.pop(piece, None)
-        return [head + b"".join(ids) for head, ids in zip(self.ids_of.whole(heads), found)]
-
-
 @lru_cache(maxsize=2)
-def tokens(path: str) -> Tokens:
+def tokens(path: str) -> Words:
+    """The tokenizers library and the words it has met, for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
-    return Tokens(path)
+    from tokenizers import Tokenizer
+    return Words(Tokenizer.from_file(path))
 
 
 # --- codes
@@ -248,7 +183,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 continue
             if last is not None:
                 yield closed(last, None)
-            ids = [x + end for x in own.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in own.ids(batch.column("text").to_pylist())]
             n = np.array([len(x) // own.kind.itemsize for x in ids], dtype=np.int64)
             total += np.bincount(np.frombuffer(b"".join(ids), own.kind), minlength=len(total))
             last = {

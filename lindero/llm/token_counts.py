@@ -12,24 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lindero.llm.common import ROW, pack, small_batches, unpack
-from lindero.llm.pieces import Pieces
+from lindero.llm.words import Words
 from lindero.session import settle
 
 CHUNK = 1 << 14        # characters of a chunk; texts of more than two chunks count as huge
 OVERLAP = 1 << 9       # characters a chunk shares with the next one
 WIDER = 4              # times the lengths grow when two chunks do not agree
-PIECES = 120_000       # pieces of text a worker remembers with their counts
-UNSURE = -1 << 60      # less than any number of tokens makes up for
-GROUP = 64             # texts whose new pieces are learned together
-SHORT = 48             # characters of a piece that is remembered
 
 
 class TokenCounter:
     """The tokenizers library with its own defaults: special strings in a text are special tokens.
 
     A byte-level tokenizer cuts the text into words before any merge, and where a word starts, the
-    rest of the text alone decides what follows. So a single space between two other characters is
-    a place where counts can be added, and so is a word start that two overlapping chunks share.
+    rest of the text alone decides what follows. So a word start that two overlapping chunks share
+    is a place where their counts can be joined.
     """
 
     def __init__(self, path: str):
@@ -44,58 +40,11 @@ class TokenCounter:
         # A word start this far before a chunk's end does not depend on what follows: a match looks
         # two characters ahead, and no special string from before it can reach over it.
         self.margin = 4 + max([len(t.content) for t in added.values()], default=0)
-        self.ids_of = Pieces(self.library)
-        self.known: dict[str, int] = {}
-        self.older: dict[str, int] = {}
-
-    def whole(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> list[str]:
-        """Counts of new pieces, each with a space before it; UNSURE where a piece is no sure cut.
-
-        Two generations are remembered: entries not asked for since the last change are dropped.
-        Returns the pieces that are too long to be kept.
-        """
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
-        fresh = []
-        for piece in dict.fromkeys(pieces):
-            n = self.older.get(piece)
-            if n is not None:
-                self.known[piece] = n
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                self.known[piece] = UNSURE
-            else:
-                fresh.append(piece)
-        size = self.ids_of.kind.itemsize
-        self.known.update((p, len(ids) // size) for p, ids in zip(fresh, self.ids_of.ids(fresh)))
-        return [piece for piece in fresh if len(piece) > SHORT]
+        self.words = Words(self.library)
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """Number of tokens of each text; null and empty texts have none."""
-        return [n for at in range(0, len(texts), GROUP) for n in self._counts(texts[at:at + GROUP])]
-
-    def _counts(self, texts: list[str | None]) -> list[int]:
-        split = [(t or "").split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        get = self.known.get
-        found = [list(map(get, s)) for s in split]
-        late = [(i, [k for k, n in enumerate(ns) if n is None]) for i, ns in enumerate(found)]
-        long = self._learn([split[i][k] for i, holes in late for k in holes])
-        get = self.known.get
-        out = []
-        for i, holes in late:
-            ns, pieces = found[i], split[i]
-            for k in holes:
-                ns[k] = get(pieces[k])
-            n = sum(ns)
-            if n < 0 or pieces and (not heads[i] or heads[i][-1].isspace()):
-                heads[i], n = texts[i], 0
-            out.append(n)
-        for piece in long:
-            self.known.pop(piece, None)
-        return [n + head for n, head in zip(out, self.whole(heads))]
+        """Number of tokens of each whole text; null and empty texts have none."""
+        return self.words.counts(texts)
 
     def chunk(self, text: str, length: int, overlap: int) -> dict:
         """Tokens of a chunk, and its word starts near both ends as (byte, tokens before it).

@@ -10,6 +10,7 @@ from lindero.functions import grid, keys
 from lindero.operators import locate as L
 from lindero.plans import location as P
 from lindero.registry import DEFAULT_REGISTRY, as_struct, lookup_struct
+from lindero.session import settle
 from parity import derived as D
 from parity.base import add
 from parity.derived import G, with_sql
@@ -399,7 +400,7 @@ def _(spark, sf):
 SELECT k, town AS id_ine FROM two_places JOIN two_sheets s USING (sheet_name) WHERE s.id_ine = town""", "two_places", "two_sheets"))
 def _(spark, sf):
     from lindero.operators import worklists as W
-    placed = L.grid_columns(
-        L.route(two_points(spark, sf), TOWNS).filter(F.col("id_ine").isNotNull()),
-        lookup_struct(F.col("id_ine"), TOWNS))
+    routed = settle(L.route(two_points(spark, sf), TOWNS).filter(F.col("id_ine").isNotNull()),
+                    "routed")
+    placed = L.grid_columns(routed, lookup_struct(F.col("id_ine"), TOWNS))
     return W.eligible(placed, two_sheets(spark, sf)).select("k", "id_ine")

@@ -1,10 +1,12 @@
 import random
+from array import array
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from lindero.llm import queries, token_counts
+from lindero.llm import words as words_module
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,19 +31,29 @@ def words(seed, n):
     return " ".join(rng.choice(marks) for _ in range(n))
 
 
-def test_pieces_give_the_library_counts(library):
+def test_words_give_the_library_counts(library):
     texts = ODD + [words(i, 200) for i in range(20)]
     own = token_counts.TokenCounter(PATH)
     for _ in range(2):  # the second time from memory
         assert own.counts(texts) == counted(library, texts)
 
 
-def test_memory_of_pieces_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(token_counts, "PIECES", 50)
+def test_words_of_all_characters_below_the_bound(library):
+    from lindero.llm.words import Words
+    own, rng = Words(library), random.Random(5)
+    chars = [chr(c) for c in range(0x250)] + list(3 * "'" + "  \n\nsdmtrevl019.,")
+    for _ in range(400):
+        text = "".join(rng.choice(chars) for _ in range(60))
+        ids = array(own.code, library.encode(text, add_special_tokens=False).ids).tobytes()
+        assert own.ids([text]) == [ids]
+
+
+def test_memory_of_words_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(words_module, "REMEMBERED", 50)
     own = token_counts.TokenCounter(PATH)
-    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(20)]
-    assert [own.counts([t])[0] for t in texts] == counted(library, texts)
-    assert len(own.known) + len(own.older) <= 2 * (50 + 40)
+    texts = [" ".join(f"{chr(97 + i)}x{chr(97 + k)}q" for k in range(26)) for i in range(20)]
+    assert own.counts(texts) == counted(library, texts)
+    assert len(own.words.known) + len(own.words.older) <= 100
 
 
 @pytest.mark.parametrize("length,overlap", [(64, 32), (700, 100)])
