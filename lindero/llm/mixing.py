@@ -84,7 +84,12 @@ def plan_copies(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3,
         seed: str = "mix") -> DataFrame:
-    """The mixture itself: each document as many times as `plan_copies` says, same columns."""
+    """The mixture itself: each document as many times as `plan_copies` says, same columns.
+
+    Null and empty texts have no words, so the mix takes none of them unless words beside them give
+    their source a rate; equal rows are repeated alike; columns of any name are kept. Texts are
+    carried, never cut. An empty table gives an empty table.
+    """
     packed = docs.select(pack(docs), "doc_id", "source", "text")
     planned = plan_copies(packed, weights, cap, seed)
     return (planned.filter(F.col("copies") > 0)

@@ -393,7 +393,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with one row of each group of near duplicates, same columns.
 
-    Kept is the row of the smallest doc_id; among rows that share it, equal rows too, one.
+    Kept is the row of the smallest doc_id, null last; among rows that share it, equal rows too, one.
+    Null and empty texts, and others without words, are near nothing: all such rows stay. Texts of any
+    length are compared whole. Columns of any name are kept. An empty table gives an empty table.
     """
     labels, signed = links(docs)
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
