@@ -17,7 +17,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.
 
     It learns from the labels of documents whose crc32 of doc_id leaves a remainder when divided
-    by 5, so that the others can tell how well it does.
+    by 5, so that the others can tell how well it does. Null and empty texts get the score of an empty
+    passage; equal texts are kept or rejected alike. Nothing labelled: every score is a half and all
+    stay. An empty table gives an empty table.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -30,8 +32,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that have a language, one or several, by the network's windows.
 
     Rejected are texts without a letter and those with too small a share of their letters in windows
-    of one sure language; `Network.recognised` has the rule. A document of several languages has sure
-    windows and is kept.
+    of one sure language; `Network.recognised` has the rule, which judges short texts more gently. A
+    document of several languages has sure windows and is kept. Null and empty texts go; equal texts
+    are kept or rejected alike. Nothing learned: texts with a letter stay. An empty table gives an
+    empty table.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     network = langid.learn(docs, remainder != 2)
@@ -39,17 +43,29 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest doc_id.
+
+    Null and empty texts are near nothing and stay; of repeated rows one stays; an empty table gives
+    an empty table.
+    """
     return probminhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the weights of its source ask."""
+    """Each document as often as the weights of its source ask, three times at most.
+
+    Null and empty texts count no words; a null source is a source of its own; repeated rows are
+    taken alike; an empty table gives an empty table.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text of the mixture: doc_id, source, lang, n_tokens, ids."""
+    """Token ids of each text of the mixture: doc_id, source, lang, n_tokens, ids.
+
+    Null and empty texts have no ids; texts of any length are encoded whole; repeated rows get equal
+    ids; an empty table gives an empty table.
+    """
     ranks = public_tokenizers.path(RANKS)
     encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks,
                          public_tokenizers.PATTERN)
