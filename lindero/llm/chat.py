@@ -114,7 +114,29 @@ def plain(body: Column) -> Column:
     return unescape(F.regexp_replace(body, "<[^>]*>", ""))
 
 
+CLOSING = "</turn>\n"
+
+
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, in order."""
-    return F.concat_ws("", F.transform(loss, lambda s: plain(F.substr(
-        formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    """All text under the loss mask, in order.
+
+    The text is split into turns once, and each span is taken from the turn whose body it is; the
+    places of the turns are added up on the way. Spans that are not whole bodies in order are read
+    from the start of the text instead.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("next"),
+                     F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, turn: Column) -> Column:
+        head, span = F.instr(turn, ">"), F.get(loss, acc["next"])
+        hit = F.coalesce(span["start"] == acc["at"] + head, F.lit(False))
+        text = plain(F.substr(turn, head + 1, span["length"].cast("int")))
+        return F.struct(
+            (acc["at"] + F.length(turn) + len(CLOSING)).alias("at"),
+            F.when(hit, acc["next"] + 1).otherwise(acc["next"]).alias("next"),
+            F.when(hit, F.array_append(acc["found"], text)).otherwise(acc["found"]).alias("found"))
+
+    read = F.aggregate(F.split(formatted, CLOSING), start, step, lambda acc: F.when(
+        acc["next"] == F.size(loss), F.concat_ws("", acc["found"])))
+    return F.coalesce(read, F.concat_ws("", F.transform(loss, lambda s: plain(F.substr(
+        formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lindero.llm import chat, mixing, sharding
+from lindero.session import settle
 
 PARTS = "conv_id long, turn int, role string, parts " + chat.PARTS
 
@@ -153,3 +154,25 @@ def test_size_of_word_pattern(spark):
     row = spark.createDataFrame([("a\u00a0b \x0bc\td\n",)], "t string").select(
         F.regexp_count("t", F.lit(mixing.WORD))).first()
     assert row[0] == 3 and zlib.crc32(b"") == 0
+
+
+def test_loss_is_read_in_time_linear_in_the_text(spark):
+    """A conversation of many turns, and spans that are no whole bodies."""
+    import time
+    turns = spark.range(8000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("a < b \\ "), F.repeat(F.lit("é"), 300), F.col("id").cast("string")).alias("text"))
+    done = chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))
+    done = settle(done.select("formatted", "loss"), "chats")
+    began = time.time()
+    got = done.select(chat.read_loss(F.col("formatted"), F.col("loss")).alias("x")).first()["x"]
+    assert time.time() - began < 20
+    assert got == "".join(f"a < b \\ {'é' * 300}{i}" for i in range(1, 8000, 2))
+    odd = spark.createDataFrame([("<turn user>abc</turn>\n<turn assistant>defg</turn>\n",)], "f string")
+    spans = F.array(F.struct(F.lit(12).cast("bigint").alias("start"), F.lit(2).cast("bigint").alias("length")),
+                    F.struct(F.lit(38).cast("bigint").alias("start"), F.lit(4).cast("bigint").alias("length")))
+    assert odd.select(chat.read_loss(F.col("f"), spans).alias("x")).first()["x"] == "bcdefg"
+    none = spark.createDataFrame([("", )], "f string")
+    assert none.select(chat.read_loss(F.col("f"), F.array().cast(
+        "array<struct<start:bigint,length:bigint>>")).alias("x")).first()["x"] == ""
