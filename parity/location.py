@@ -12,7 +12,7 @@ from lindero.plans import location as P
 from lindero.registry import DEFAULT_REGISTRY, as_struct, lookup_struct
 from lindero.session import settle
 from parity import derived as D
-from parity.base import add
+from parity.base import add, table
 from parity.derived import G, with_sql
 
 
@@ -404,3 +404,37 @@ def _(spark, sf):
                     "routed")
     placed = L.grid_columns(routed, lookup_struct(F.col("id_ine"), TOWNS))
     return W.eligible(placed, two_sheets(spark, sf)).select("k", "id_ine")
+
+
+# ---- by SQL text ----------------------------------------------------------------------------
+
+@add("sql_key_functions", with_sql("""
+SELECT v.k, v.error, translate(upper(coalesce(v.raw, '')), '-_Ñ', '  N') AS loose, trim(regexp_replace(upper(coalesce(v.raw, '')), '\\s+', ' ', 'g')) AS tight,
+  round_even(o_totalprice, 2)::DOUBLE AS number, round_even(o_totalprice, 0)::INT AS whole
+FROM validated v JOIN orders ON o_orderkey = v.k""".replace("\\\\", "\\"), "validated"))
+def _(spark, sf):
+    from lindero.functions import sql
+    sql.register(spark)
+    D.requests(spark, sf).createOrReplaceTempView("lindero_requests")
+    table(spark, sf, "orders").createOrReplaceTempView("lindero_orders")
+    return spark.sql("""
+      SELECT k, key_error(raw) AS error, loose_name(raw) AS loose, tight_name(raw) AS tight,
+             european_number(concat(replace(price, '.', ','), ' m2')) AS number, safe_int(price) AS whole
+      FROM (SELECT k, raw, cast(cast(o_totalprice AS decimal(18, 2)) AS string) AS price
+            FROM lindero_requests JOIN lindero_orders ON o_orderkey = k)""")
+
+
+@add("sql_ring_function", with_sql("""
+SELECT k, count(*) AS n FROM hits JOIN zones USING (id) WHERE NOT twin GROUP BY k""", "hits", "zones"))
+def _(spark, sf):
+    from lindero.functions import sql
+    from lindero.operators.spatial import box_join, point_box
+    sql.register(spark)
+    points = D.points(spark, sf).select("k", "x", "y", point_box(F.col("x"), F.col("y")).alias("p"))
+    zones = D.zones(spark, sf).filter(F.size("rings") == 1).select(
+        F.col("rings")[0].alias("ring"), F.struct(
+            F.col("ox").alias("x0"), F.col("oy").alias("y0"), (F.col("ox") + F.col("w")).alias("x1"),
+            (F.col("oy") + F.col("h")).alias("y1")).alias("z"))
+    box_join(points, zones, "p", "z", "k").createOrReplaceTempView("lindero_candidates")
+    return spark.sql("""
+      SELECT k, count(*) AS n FROM lindero_candidates WHERE in_ring(x, y, ring) GROUP BY k""")
