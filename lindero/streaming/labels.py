@@ -7,10 +7,11 @@ a second query, whose numbers start again, never touches the rows of the first.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -187,25 +188,46 @@ def apply_calibration(stream: DataFrame, calibration: VersionedTable, out: str,
     return _start(stream, handle, checkpoint, continuous)
 
 
+# Outcomes of the refinement gates.
+OUTCOMES = ("applied", "fb_few_matches", "fb_no_homog", "fb_low_ratio", "fb_big_offset")
+STATS = "batch_id bigint, outcome string, n bigint, rows bigint, seconds double"
+
+
 def gate_stream(stream: DataFrame, out: str, checkpoint: str,
                 continuous: bool = False) -> StreamingQuery:
     """Resumable refinement: matcher records pass the gates, with counts per outcome and batch.
 
-    A stopped run goes on where its checkpoint stands.
+    The counts are observed while a batch is written, so its rows are worked out and read once; with
+    the seconds the batch took they give the rates of the running job (`gate_rates`). A stopped run
+    goes on where its checkpoint stands.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        query = query_id(batch.sparkSession)
-        gated = f"{out}/results/{query}/b{batch_id}"
-        C.gate_matches(batch).write.mode("overwrite").parquet(gated)
-        written = batch.sparkSession.read.parquet(gated)
-        written.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn(
-            "batch_id", F.lit(batch_id)).coalesce(1).write.mode("overwrite").parquet(
+        spark, query, began = batch.sparkSession, query_id(batch.sparkSession), time.monotonic()
+        seen = Observation()
+        counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+        C.gate_matches(batch).observe(seen, *counts).write.mode("overwrite").parquet(
+            f"{out}/results/{query}/b{batch_id}")
+        found, took = seen.get, time.monotonic() - began
+        rows = [(batch_id, o, found[o], sum(found.values()), took) for o in OUTCOMES if found[o]]
+        spark.createDataFrame(rows, STATS).coalesce(1).write.mode("overwrite").parquet(
             f"{out}/stats/{query}/b{batch_id}")
 
     return _start(stream, handle, checkpoint, continuous)
 
 
+def gate_rates(stats: DataFrame) -> DataFrame:
+    """outcome, n, share, batches, rows_per_second over all batches so far, from what was observed."""
+    batches = stats.select("batch_id", "rows", "seconds").distinct()
+    total = batches.agg(F.struct(
+        F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds"),
+        F.count(F.lit(1)).alias("batches")).alias("t")).scalar()
+    return stats.groupBy("outcome").agg(F.sum("n").alias("n")).withColumn("_t", total).select(
+        "outcome", "n", (F.col("n") / F.col("_t.rows")).alias("share"),
+        F.col("_t.batches").alias("batches"),
+        (F.col("_t.rows") / F.col("_t.seconds")).alias("rows_per_second"))
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All rows a job wrote below `path`, whatever the batch."""
     return spark.read.option("recursiveFileLookup", "true").parquet(path)

@@ -798,3 +798,22 @@ def _(spark, sf):
     return ST.read_batches(spark, base + "/stats").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
+
+
+@add("st5_rates", with_sql("""
+SELECT outcome, count(*) AS n, count(*)::DOUBLE / any_value(total) AS share, 4::BIGINT AS batches, true AS timed
+FROM gated, (SELECT count(*) AS total FROM gated) GROUP BY outcome""", "gated"))
+def _(spark, sf):
+    base = fresh_path(spark, "rates")
+    # Four files, one to a batch.
+    table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").withColumn(
+        "part", F.col("l_orderkey") % 4).repartition(4, "part").write.partitionBy("part").parquet(
+        base + "/lines")
+    schema = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+              " part int")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/lines")
+    ST.gate_stream(matches(spark, sf, lines), base, base + "/checkpoint").awaitTermination()
+    rates = ST.gate_rates(ST.read_batches(spark, base + "/stats"))
+    return rates.select("outcome", "n", "share", "batches",
+                        (F.col("rows_per_second") > 0).alias("timed"))
