@@ -18,6 +18,25 @@ WORD = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTE
 BEYOND = re.compile("[ɐ-\U0010ffff]")
 
 
+class Known(dict):
+    """Words with their ids; looked up at the speed of a dict, as only new words come here."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merge(word)
+        if len(word) < LONG:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Words:
     """Ids of whole texts, equal to the library's own with its defaults.
 
@@ -33,8 +52,7 @@ class Words:
         self.cut = re.compile(WORD).findall
         wide = library.get_vocab_size() > 1 << 16
         self.kind, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self._merge)
         # how the library writes each byte: as one character
         own = sorted(set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256)))
         rest = [b for b in range(256) if b not in set(own)]
@@ -43,19 +61,12 @@ class Words:
         if any(self.written.get(b, chr(b)) not in vocabulary for b in range(256)):
             raise ValueError("not a byte-level tokenizer")
 
-    def _learn(self, word: str) -> bytes:
-        ids = self.known.get(word) or self.older.get(word)
-        if ids is None:
-            if word.isascii() and word.isprintable():
-                written = word.replace(" ", self.written[32])
-            else:
-                written = word.encode("utf-8").decode("latin-1").translate(self.written)
-            ids = array(self.code, [t.id for t in self.library.model.tokenize(written)]).tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
-        if len(word) < LONG:
-            self.known[word] = ids
-        return ids
+    def _merge(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            written = word.replace(" ", self.written[32])
+        else:
+            written = word.encode("utf-8").decode("latin-1").translate(self.written)
+        return array(self.code, [t.id for t in self.library.model.tokenize(written)]).tobytes()
 
     def parts(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """For each text the ids of its words, or of the whole in one; null and empty: none."""
@@ -67,12 +78,7 @@ class Words:
                 found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
                 yield [array(self.code, found.ids).tobytes()]
             else:
-                words = self.cut(text)
-                ids = list(map(self.known.get, words))
-                if not all(ids):  # no word is without ids
-                    for i in [i for i, x in enumerate(ids) if x is None]:
-                        ids[i] = self._learn(words[i])
-                yield ids
+                yield list(map(self.known.__getitem__, self.cut(text)))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         return [b"".join(p) for p in self.parts(texts)]

@@ -53,7 +53,7 @@ def test_memory_of_words_is_bounded(library, monkeypatch):
     own = token_counts.TokenCounter(PATH)
     texts = [" ".join(f"{chr(97 + i)}x{chr(97 + k)}q" for k in range(26)) for i in range(20)]
     assert own.counts(texts) == counted(library, texts)
-    assert len(own.words.known) + len(own.words.older) <= 100
+    assert len(own.words.known) + len(own.words.known.older) <= 100
 
 
 @pytest.mark.parametrize("length,overlap", [(64, 32), (700, 100)])
